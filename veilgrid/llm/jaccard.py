@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +24,7 @@ BROADCAST_ROWS = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=200_000)
 def _hash(word: str) -> tuple[int, ...]:
-    import xxhash
-
     return (xxhash.xxh64_intdigest(word),) if word else ()
 
 
@@ -91,8 +88,6 @@ def _prefixed(k: int, percent: int, hot) -> Callable[[Iterator[pa.RecordBatch]],
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         keys, counts = hot.value
         seen: set[int] = set()
         for b in blocks(batches, "text"):

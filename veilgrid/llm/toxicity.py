@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,17 +19,17 @@ from .bpe import _per_text, _taken
 from .common import blocks, hash62
 
 _WORD = re.compile(r"\w+")
+#: Letters of a word that make its stem.
+STEM = 5
 #: Labelled rows that training takes at most, on the average of the seeded hash that picks them.
-MAX_ROWS = 16_000
+MAX_ROWS = 8_000
 #: A score from here on means toxic.
 THRESHOLD = 0.3
 
 
-@lru_cache(maxsize=200_000)
 def _word_hashes(chunk: str) -> tuple[int, ...]:
-    import xxhash
-
-    return tuple(xxhash.xxh64_intdigest(w) for w in _WORD.findall(chunk.lower()))
+    """Of each word of a chunk: the hash of the word, and of its first letters, which stand for its other forms."""
+    return tuple(xxhash.xxh64_intdigest(x) for w in _WORD.findall(chunk.lower()) for x in (w, w[:STEM]))
 
 
 def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
@@ -38,16 +38,16 @@ def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
 
 
 def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of all texts, with repeats, and the number of each feature's text: words, word pairs, triples,
-    and pairs with one or two words between. The words of a whole text count, however long it is."""
+    """Hashed features of all texts, with repeats, and the number of each feature's text: words, stems, word pairs, and pairs
+    with one word between. The words of a whole text count, however long it is."""
     lists = pc.ascii_split_whitespace(text.cast(pa.string()).fill_null(""))
-    h, sizes = _taken(_word_hashes, lists.flatten(), pa.uint64())
-    ends = _per_text(lists, sizes)
+    both, sizes = _taken(_word_hashes, lists.flatten(), pa.uint64())
+    h, stem = both[::2], both[1::2]
+    ends = _per_text(lists, sizes) // 2
     row = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
     found, rows = [], []
     with np.errstate(over="ignore"):
-        pair = h[:-1] * np.uint64(31) + h[1:]
-        made = [(1, h, 0), (2, pair, 1), (3, pair[:-1] * np.uint64(31) + h[2:], 2), (4, h[:-2] * np.uint64(31) + h[2:], 2), (5, h[:-3] * np.uint64(31) + h[3:], 3)]
+        made = [(1, h, 0), (2, stem, 0), (3, h[:-1] * np.uint64(31) + h[1:], 1), (4, h[:-2] * np.uint64(37) + h[2:], 2)]
         for kind, values, reach in made:
             if len(values):
                 same = row[: len(row) - reach] == row[reach:]
@@ -86,18 +86,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, least_df: int = 3, passes: int = 4, alpha: float = 0.15, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> Model:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, least_df: int = 3, passes: int = 4, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> Model:
     """FTRL-proximal on rows of distinct features, in the order given, a rate for each coordinate.
 
     A feature of fewer than `least_df` rows gets no weight; L1 leaves out most of the others. Without rows the
     model gives every text the score 0.5, and with one class only, a score that leans to it.
     """
-    everything = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    keys, counts = np.unique(everything, return_counts=True)
+    often = np.zeros(1 << 26, np.uint8)  # counts by part of the hash, so that most rare features go before they are sorted
+    for r in rows:
+        at = r & np.uint32((1 << 26) - 1)
+        often[at] = np.minimum(often[at], 254) + 1
+    some = [r[often[r & np.uint32((1 << 26) - 1)] >= least_df] for r in rows]
+    keys, counts = np.unique(np.concatenate(some) if some else np.zeros(0, np.uint32), return_counts=True)
     keys = keys[counts >= least_df]
+    del often
     z, n, bias_z, bias_n = np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0
     kept = []
-    for r in rows:
+    for r in some:
         at = np.minimum(np.searchsorted(keys, r), max(len(keys) - 1, 0))
         kept.append(at[keys[at] == r] if len(keys) else np.zeros(0, np.int64))
 
