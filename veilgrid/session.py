@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,4 +26,6 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the given data folder, by any path that Spark's readers open."""
+    # Python workers import this package from where the driver has it, unless their own path does already
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
