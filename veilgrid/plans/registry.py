@@ -119,7 +119,7 @@ QUERIES: dict[str, Query] = {
     "labeled_merged": _over(lambda ls: labels.merged_values(labels.flagged(ls))),
     "labeled_same_row": _over(lambda ls: labels.same_row_values(labels.flagged(ls)).select(*LINE, "rule")),
     "column_below": _over(_columns_below),
-    "labeled_values": _over(lambda ls: labels.labeled_values(tables.with_item_table(ls))),
+    "labeled_values": _over(lambda ls: labels.labeled_values(ls)),
     "harvested_names": _over(names.harvested_names),
     "name_memory_hits": _over(names.name_memory_hits),
     "adjacent_pairs": _over(regions.adjacent_pairs),
