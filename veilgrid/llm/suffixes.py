@@ -212,7 +212,7 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, words: int = 50
     out_ddl = f"id {kind.simpleString()}, th long, first int, n int, state int, window long"
     runs = scratch.save(ordered.mapInArrow(_compared(), out_ddl), "runs")
 
-    open_ = runs.where("window IS NOT NULL")
+    open_ = runs.where("window IS NOT NULL").distinct()  # rows alike in id and text are one document
     place = F.struct(F.col("id").isNotNull().alias("a"), "id", "th", "first")
     met = open_.groupBy("window").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("parts"), F.max("state").alias("most"))
     late = open_.join(met, "window").select("id", "th", "first", "n", F.when(place != F.col("lead"), _LATER).when((F.col("parts") > 1) | (F.col("most") == _FIRST), _FIRST).otherwise(_ONCE).alias("state"))
