@@ -25,8 +25,8 @@ from .common import blocks
 #: U+024F but U+0130 (its lower case has two characters), for which NFC changes nothing. All others take the library's own steps.
 _PLAIN = re.compile("[\\x21-\\x7eÀ-įı-ɏ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Entries that one Python worker keeps of chunks already encoded; beyond it the store starts anew.
-CACHE = 200_000
+#: Chunks whose ids one Python worker keeps: the first it meets, among them the frequent ones.
+CACHE = 100_000
 
 
 def default_tokenizer() -> str:
@@ -81,9 +81,9 @@ class WordEncoder:
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         got = self.cache.get(chunk)
         if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[chunk] = tuple(i for w in self.words(chunk) for i in self.ids(w))
+            got = tuple(i for w in self.words(chunk) for i in self.ids(w))
+            if len(self.cache) < CACHE:
+                self.cache[chunk] = got
         return got
 
 
@@ -136,13 +136,16 @@ def _pack(values: np.ndarray) -> bytes:
 
     values = np.ascontiguousarray(values)
     least = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if t is np.int64 or not len(values) or (values.min() >= 0 and values.max() <= np.iinfo(t).max))
-    return np.dtype(least).char.encode() + zstandard.ZstdCompressor(level=1).compress(values.astype(least).tobytes())
+    planes = np.ascontiguousarray(values.astype(least).view(np.uint8).reshape(len(values), -1).T)  # high bytes together pack best
+    return np.dtype(least).char.encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.dtype(data[:1].decode()))
+    kind = np.dtype(data[:1].decode())
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _split(path: str, buckets: int, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -196,7 +199,7 @@ def _encode_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 lists = []
                 for w in zstandard.ZstdDecompressor().decompress(words.as_py()).decode().split("\n"):
                     if (got := known.get(w)) is None:
-                        if len(known) >= 4 * CACHE:
+                        if len(known) >= 4 * CACHE:  # a bucket with more distinct words encodes some again
                             known.clear()
                         got = known[w] = np.array(enc.ids(w), np.uint32).tobytes()
                     lists.append(got)
@@ -240,7 +243,7 @@ def _ids_by_position(path: str, each: Callable, schema: pa.Schema) -> Callable[[
     return run
 
 
-def encode_distinct(df: DataFrame, key_col: str, text_col: str, path: str, each: Callable, schema: pa.Schema, ddl: str, buckets: int = 256, block_bytes: int = 8 << 20) -> DataFrame:
+def encode_distinct(df: DataFrame, key_col: str, text_col: str, path: str, each: Callable, schema: pa.Schema, ddl: str, buckets: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
     """Encodes texts through a table of distinct words, and gives each block's keys, ids and bounds to `each`.
 
     1. Every task splits its texts into blocks of bounded bytes: the positions of words as numbers, and the block's
