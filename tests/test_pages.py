@@ -235,4 +235,4 @@ def test_png_opens_in_the_image_source(spark, tmp_path):
 
 
 def test_constants():
-    assert (P.COVERED, P.UNTOUCHED, P.MIN_TABLE_ROWS) == (0.9, 0.1, 2) and len(P.STOPWORDS) == 43
+    assert (P.COVERED, P.UNTOUCHED, P.MIN_TABLE_ROWS) == (0.9, 0.1, 2) and len(P.STOPWORDS) == 45

@@ -12,7 +12,13 @@ def column(spark, texts, **exprs):
     return [r for r in df.select("i", *(e.alias(k) for k, e in exprs.items())).orderBy("i").collect()]
 
 
-T = F.col("text")
+T = None
+
+
+@pytest.fixture(autouse=True)
+def _text(spark):
+    global T
+    T = F.col("text")
 
 
 def test_first_rule_in_order_with_its_match(spark):

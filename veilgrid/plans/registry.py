@@ -17,7 +17,10 @@ from . import oracle as O
 from .invoices import HEIGHT, WIDTH, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
-_TEXT = F.col("text")
+
+
+def _text():
+    return F.col("text")  # not at import: columns need a session
 
 
 def _over(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -25,7 +28,7 @@ def _over(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _rule_hits(ls: DataFrame) -> DataFrame:
-    found = F.filter(F.array(*(F.when(matches(_TEXT, p), F.lit(n)) for n, p in [*P.STATIC_RULES, ("ORG_MEDICAL", P.ORG_MEDICAL)])), lambda x: x.isNotNull())
+    found = F.filter(F.array(*(F.when(matches(_text(), p), F.lit(n)) for n, p in [*P.STATIC_RULES, ("ORG_MEDICAL", P.ORG_MEDICAL)])), lambda x: x.isNotNull())
     return ls.select("page", F.explode(found).alias("rule")).groupBy("rule", "page").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
@@ -103,16 +106,16 @@ def _dump_round_trip(ls: DataFrame) -> DataFrame:
 
 def _phone_guard(ls: DataFrame) -> DataFrame:
     """Candidates for phone numbers on lines that are none: dates and bare digit runs."""
-    return ls.where(matches(_TEXT, r"^\d[\d\s./\-]{5,}$")).select(*LINE, (~matches(F.trim(_TEXT), P.DOTTED_DATE) & ~matches(F.trim(_TEXT), P.BARE_DIGITS)).alias("kept"))
+    return ls.where(matches(_text(), r"^\d[\d\s./\-]{5,}$")).select(*LINE, (~matches(F.trim(_text()), P.DOTTED_DATE) & ~matches(F.trim(_text()), P.BARE_DIGITS)).alias("kept"))
 
 
 QUERIES: dict[str, Query] = {
     "rendered_lines": lines,
-    "static_rule_match": _over(lambda ls: ls.select(*LINE, static_rule_name(_TEXT).alias("rule")).where("rule IS NOT NULL")),
-    "static_rule_quoted": _over(lambda ls: ls.select(*LINE, static_rule(_TEXT).alias("r")).where("r IS NOT NULL").select(*LINE, "r.rule", "r.matched")),
+    "static_rule_match": _over(lambda ls: ls.select(*LINE, static_rule_name(_text()).alias("rule")).where("rule IS NOT NULL")),
+    "static_rule_quoted": _over(lambda ls: ls.select(*LINE, static_rule(_text()).alias("r")).where("r IS NOT NULL").select(*LINE, "r.rule", "r.matched")),
     "static_rule_boxes": _over(verdicts.static_rule_boxes),
     "rule_hit_counts": _over(_rule_hits),
-    "anchors": _over(lambda ls: ls.where(not_blank(_TEXT)).select(*LINE, is_sender_anchor(_TEXT).alias("sender"), is_recipient_anchor(_TEXT).alias("recipient"))),
+    "anchors": _over(lambda ls: ls.where(not_blank(_text())).select(*LINE, is_sender_anchor(_text()).alias("sender"), is_recipient_anchor(_text()).alias("recipient"))),
     "median_heights": _over(tables.median_heights),
     "item_table_bands": _over(tables.item_table_bands),
     "item_table_lines": _over(lambda ls: tables.with_item_table(ls).where("in_table").select(LINE)),
@@ -129,8 +132,8 @@ QUERIES: dict[str, Query] = {
     "sender_blocks": _kind("sender"),
     "recipient_blocks": _kind("recipient"),
     "region_boxes": _over(lambda ls: regions.region_boxes(ls, WIDTH, HEIGHT)),
-    "entities_regex": _over(lambda ls: ls.select(*LINE, F.explode(entities(_TEXT)).alias("e")).groupBy(*LINE, "e.entity").agg(F.count(F.lit(1)).alias("n")).where("entity NOT IN ('PHONE_NUMBER', 'DE_ADDRESS')")),
-    "classifier_lines": _over(lambda ls: ls.select(*LINE, (F.size(entities(_TEXT)) > 0).alias("pii")).where("pii")),
+    "entities_regex": _over(lambda ls: ls.select(*LINE, F.explode(entities(_text())).alias("e")).groupBy(*LINE, "e.entity").agg(F.count(F.lit(1)).alias("n")).where("entity NOT IN ('PHONE_NUMBER', 'DE_ADDRESS')")),
+    "classifier_lines": _over(lambda ls: ls.select(*LINE, (F.size(entities(_text())) > 0).alias("pii")).where("pii")),
     "phone_guard": _over(_phone_guard),
     "verdict_reasons": _over(lambda ls: verdicts.reasons(ls).select(*LINE, "in_table", "reason")),
     "line_boxes": _over(lambda ls: verdicts.line_boxes(verdicts.reasons(ls))),

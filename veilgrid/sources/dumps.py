@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import excerpt, python_repr
 from ..schema import LINE, PAGE
@@ -26,7 +27,7 @@ def read_texts(spark: SparkSession, path: str, glob: str = DUMP_GLOB) -> DataFra
     return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("pos", "raw"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _literal(text: pd.Series) -> pd.Series:
     def one(x: str | None) -> str | None:
         if x is None:
