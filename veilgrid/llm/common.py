@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -83,6 +85,7 @@ def hash62(*cols: Column | str) -> Column:
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes in the column (a row that is longer stands alone)."""
     for batch in batches:
+        _give_back()
         if not batch.num_rows:
             continue
         size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -91,16 +94,47 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Edges that one task joins by itself; with more, all tasks take turns at neighbourhoods.
+TASK_EDGES = 400_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges to (id, component) for every id in them."""
+    root: dict[int, int] = {}
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            for x in (a, b):
+                root.setdefault(x, x)
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            root[max(a, b)] = min(a, b)
+    for x in sorted(root):  # a root is smaller than what hangs on it
+        root[x] = root[root[x]]
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array(list(root.values()), pa.int64())], ["id", "component"])
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str, most: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (id, component), the smallest id reachable, for every id in an edge.
+    """Connected components of edges (a, b): rows (id, component), the smallest id reachable, for every id in an edge between two.
 
-    Alternating large-star and small-star steps: every step hangs neighbours on the smallest one known, so chains
-    and hubs shrink in a logarithmic number of rounds. Each round is written to the shared folder; nothing but
-    a checksum reaches the driver.
+    Up to TASK_EDGES edges, which fit one task's memory, are joined there. More go through alternating large-star and small-star
+    steps: every step hangs neighbours on the smallest one known, so chains and hubs shrink in a logarithmic number of rounds, each
+    written to the shared folder. Either way nothing but counts and a checksum reaches the driver.
     """
-    e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), f"{name}-0")
+    if e.count() <= TASK_EDGES:
+        return scratch.save(e.repartition(1).mapInArrow(_forest, "id long, component long"), f"{name}-joined")
     last = None
     for step in range(1, most + 1):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .bpe import _per_text, _taken
 from .common import Scratch, blocks, components
 
 #: Frequent shingles that are ordered by their counts, at most; all others come before them, in order of their hashes.
@@ -24,16 +23,32 @@ BROADCAST_ROWS = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hash(word: str) -> tuple[int, ...]:
-    return (xxhash.xxh64_intdigest(word),) if word else ()
+def _string_hashes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of strings, and their lengths in bytes: polynomials in a fixed odd base, taken from one running sum over all bytes."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    size = np.diff(ends)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(int(size.max(initial=0)) + 1, _ODD))
+        place = np.arange(len(data)) - np.repeat(ends[:-1] - ends[0], size)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[place])])
+        h = total[ends[1:] - ends[0]] - total[ends[:-1] - ends[0]]
+        h = (h ^ (h >> np.uint64(31)) ^ size.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29)), size
 
 
 def word_hashes(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs without ASCII white space; A-Z lower-cased), and each text's bounds in them."""
     text = text.cast(pa.string()).fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
-    h, sizes = _taken(_hash, lists.flatten(), pa.uint64())
-    return h, _per_text(lists, sizes)
+    coded = lists.flatten().dictionary_encode()
+    if not len(coded):
+        return np.zeros(0, np.uint64), np.zeros(len(text) + 1, np.int64)
+    own, size = _string_hashes(coded.dictionary)
+    index = coded.indices.to_numpy()
+    word = size[index] > 0  # white space at an end of a text leaves an empty piece
+    ends = np.concatenate([[0], np.cumsum(word)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])]
+    return own[index[word]], ends
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -58,12 +73,19 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _frequent(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the shingles that a task meets in two texts of a block and in three altogether (a lossy count over all texts)."""
+    """Counts of the shingles that a task meets twice in a block of texts and three times altogether (a lossy count over all texts). They
+    only order prefixes, so it does no harm that a text may count twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
         for b in blocks(batches, "text"):
-            token, n = np.unique(np.concatenate([*shingle_sets(b.column("text"), k), np.zeros(0, np.uint64)]), return_counts=True)
+            h, ends = word_hashes(b.column("text"))
+            runs = window_hashes(h, k)
+            whole = np.ones(len(runs), bool)
+            for i in range(1, k):  # runs that cross the end of a text are none
+                at = ends[1:-1] - i
+                whole[at[(at >= 0) & (at < len(runs))]] = False
+            token, n = np.unique(runs[whole], return_counts=True)
             keys.append(token[n > 1])
             counts.append(n[n > 1])
             if len(keys) > 16:
@@ -91,7 +113,7 @@ def _prefixed(k: int, percent: int, hot) -> Callable[[Iterator[pa.RecordBatch]],
         keys, counts = hot.value
         seen: set[int] = set()
         for b in blocks(batches, "text"):
-            out: dict[str, list] = {c: [] for c in ("n", "node", "grp", "s0", "s1", "s2", "s3", "prefix")}
+            out: dict[str, list] = {c: [] for c in ("n", "node", "grp", "s0", "s1", "s2", "s3", "wide", "prefix")}
             for s in shingle_sets(b.column("text"), k):
                 n = len(s)
                 out["n"].append(n)
@@ -107,33 +129,54 @@ def _prefixed(k: int, percent: int, hot) -> Callable[[Iterator[pa.RecordBatch]],
                     if often.any():
                         head = s[np.lexsort((s, often))]
                 head = head[: n - (percent * n + 99) // 100 + 1]
-                parity = np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
-                row = (node - (1 << 63), xxhash.xxh3_64_intdigest(np.sort(head).tobytes(), seed=n) - (1 << 63), *parity.tolist())
+                row = (node - (1 << 63), xxhash.xxh3_64_intdigest(np.sort(head).tobytes(), seed=n) - (1 << 63), *_parity(s, 256).tolist(), _parity(s, max(256, 1 << int(n - 1).bit_length())))
                 for c, v in zip(list(out)[1:-1], row, strict=True):
                     out[c].append(v)
                 out["prefix"].append(None if node in seen else head.view(np.int64))
                 if len(seen) < 1_000_000:
                     seen.add(node)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("th"), pa.array(out["n"], pa.int64()), *(pa.array(out[c], pa.int64()) for c in ("node", "grp", "s0", "s1", "s2", "s3")), pa.array(out["prefix"], pa.list_(pa.int64()))],
-                ["id", "th", "n", "node", "grp", "s0", "s1", "s2", "s3", "prefix"],
+                [b.column("id"), b.column("th"), pa.array(out["n"], pa.int64()), *(pa.array(out[c], pa.int64()) for c in ("node", "grp", "s0", "s1", "s2", "s3")), *(pa.array(out[c], pa.list_(pa.int64())) for c in ("wide", "prefix"))],
+                ["id", "th", "n", "node", "grp", "s0", "s1", "s2", "s3", "wide", "prefix"],
             )
 
     return run
 
 
+def _parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each rest of the hashes on division by `bits`, a power of two: whether an odd number of them has it."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _most_apart(percent: int, a: str, b: str) -> str:
+    """SQL: in how many shingles two sets as similar as asked differ at most."""
+    total = f"({a}.n + {b}.n)"
+    return f"({total} - 2 * (({percent} * {total} + {99 + percent}) div {100 + percent}))"
+
+
 def _within(percent: int, a: str, b: str) -> Column:
     """Whether sizes and sketches leave it open that the sets a and b are as similar as asked. No similar pair is lost: a
     parity sketch differs in no more bits than the sets do in shingles. Null sketches leave everything open."""
-    total = f"({a}.n + {b}.n)"
-    most = f"({total} - 2 * (({percent} * {total} + {99 + percent}) div {100 + percent}))"
+    most = _most_apart(percent, a, b)
     bits = " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(4))
     return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND coalesce({bits} <= {most}, true)")
 
 
+def _within_wide(percent: int) -> Column:
+    """The same as _within for rows x and y of nodes, by sketches with about a bit for each shingle; the longer one is folded to the other's length."""
+    half = "least(size(x.wide), size(y.wide))"
+    fold = lambda a: f"CASE WHEN size({a}.wide) > {half} THEN zip_with(slice({a}.wide, 1, {half}), slice({a}.wide, {half} + 1, {half}), (p, q) -> p ^ q) ELSE {a}.wide END"
+    return F.expr(f"aggregate(zip_with({fold('x')}, {fold('y')}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v) <= {_most_apart(percent, 'x', 'y')}")
+
+
 def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text that one task meets
         for b in blocks(batches, "text"):
+            node = b.column("node").to_pylist()
+            new = [len(seen) >= 1_000_000 or not (x in seen or seen.add(x)) for x in node]
+            b = b.filter(pa.array(new, pa.bool_()))
             sets = [s.view(np.int64) for s in shingle_sets(b.column("text"), k)]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -142,7 +185,9 @@ def _sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
 
 def _verified(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets, made anew from their texts, are as similar as asked."""
-    pairs = scratch.save(pairs, f"{name}-pairs")
+    x, y = (nodes.select("node", "n", "wide").alias(c) for c in "xy")
+    near = pairs.alias("p").join(x, F.expr("p.a = x.node")).join(y, F.expr("p.b = y.node") & _within_wide(percent))
+    pairs = scratch.save(near.select("p.a", "p.b"), f"{name}-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = scratch.save(nodes.join(ends, "node", "left_semi").select("node", F.col("th").alias("__th")), f"{name}-wanted")
     n = wanted.count()
@@ -186,7 +231,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
     for attempt in range(3):
         order = np.argsort(hot[0])
         sent = spark.sparkContext.broadcast((hot[0][order], hot[1][order]))
-        made = scratch.save(rows.select("id", "th", "text").mapInArrow(_prefixed(k, percent, sent), f"id {id_type}, th long, n long, node long, grp long, s0 long, s1 long, s2 long, s3 long, prefix array<long>"), f"rows{attempt}")
+        made = scratch.save(rows.select("id", "th", "text").mapInArrow(_prefixed(k, percent, sent), f"id {id_type}, th long, n long, node long, grp long, s0 long, s1 long, s2 long, s3 long, wide array<long>, prefix array<long>"), f"rows{attempt}")
         tokens = made.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "grp")
         shared = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
         shared = scratch.save(shared, f"shared{attempt}")
@@ -198,7 +243,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
         hot = np.concatenate([more[new], hot[0]])[:HOT_SHINGLES], np.concatenate([size[new], hot[1]])[:HOT_SHINGLES]
 
     sketch = ["s0", "s1", "s2", "s3"]
-    nodes = scratch.save(made.where("node IS NOT NULL").groupBy("node").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("n", "grp", *sketch))), "nodes")
+    nodes = scratch.save(made.where("node IS NOT NULL").groupBy("node").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("n", "grp", *sketch, "wide"))), "nodes")
     hits = tokens.join(shared.select("token"), "token").distinct()
     groups = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("chief"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in sketch))
     alone = F.col("members") == 1
@@ -219,7 +264,7 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
     comps = components(spark, links, scratch, "near")
 
     # what no component joins yet
-    placed = scratch.save(nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "th", "grp", "n", *sketch, F.coalesce("component", "node").alias("comp")), "placed")
+    placed = scratch.save(nodes.join(comps.withColumnRenamed("id", "node"), "node", "left").select("node", "grp", "n", *sketch, F.coalesce("component", "node").alias("comp")), "placed")
     one = placed.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).select("grp", F.when(F.col("c0") == F.col("c1"), F.col("c0")).alias("comp"))
     known = scratch.save(lists.join(one, "grp"), "known")
     open_lists = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("c0 <> c1 OR mixed > 0").select("token")
