@@ -18,6 +18,8 @@ from .common import Scratch, blocks, components
 HOT_SHINGLES = 1 << 18
 #: A shingle in the prefixes of more groups than this joins the frequent ones, and prefixes are made anew.
 HEAVY_LIST = 4096
+#: A list of more groups has four more pivots, other ones in every list, so that the links of a crowd soon hang together.
+LONG_LIST = 32
 #: Candidates' texts are found by a broadcast list of up to this many hashes (16 MB), else by a shuffled join.
 BROADCAST_ROWS = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -211,8 +213,8 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
 
     1. Equal sets are one node; nodes of equal prefix and size are one group.
     2. Groups that share a shingle of their prefixes meet in its list. Only tokens that several groups have go on.
-    3. First, each group of a list is held against two pivots of the list only, a number linear in the list. Links that are
-       verified join nodes to components.
+    3. First, each group of a list is held against two pivots of the list only (six, in a long list), a number linear in the
+       list. Links that are verified join nodes to components.
     4. Then all pairs of groups of a list are filtered by size and sketch, without those that a component joins already.
        What passes is expanded to members, filtered by their sketches, and verified on whole sets.
     So all links between different components are tested; links within one are tested until it is known to hang together.
@@ -250,9 +252,14 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
     groups = scratch.save(groups.select("grp", "chief", "members", "n", *(F.when(alone, F.col(c)).alias(c) for c in sketch)), "groups")
     lists = scratch.save(hits.join(groups, "grp"), "lists")
 
-    # each group against two pivots of each list, and the members of a group against its chief
-    pivot = [F.min(F.struct(F.xxhash64(F.lit(seed), "chief").alias("h"), "grp", "chief", "n", *sketch)).alias(f"p{seed}") for seed in (1, 2)]
-    pivots = lists.groupBy("token").agg(*pivot).select("token", F.explode(F.array("p1", "p2")).alias("p")).select("token", F.col("p.grp").alias("pgrp"), F.col("p.chief").alias("pchief"), *(F.col(f"p.{c}").alias(c) for c in ("n", *sketch)))
+    # each group against the pivots of each list, and the members of a group against its chief
+    def pivot(name: str, *seed: Column | int) -> Column:
+        return F.min(F.struct(F.xxhash64(*(F.lit(x) if isinstance(x, int) else x for x in seed), "chief").alias("h"), "grp", "chief", "n", *sketch)).alias(name)
+
+    two, more = ["p1", "p2"], ["p3", "p4", "p5", "p6"]
+    chosen = lists.groupBy("token").agg(*(pivot(p, i) for i, p in enumerate(two)), *(pivot(p, i, F.col("token")) for i, p in enumerate(more)), F.count(F.lit(1)).alias("size"))
+    taken = F.when(F.col("size") > LONG_LIST, F.array(*two, *more)).otherwise(F.array(*two))
+    pivots = chosen.select("token", F.explode(taken).alias("p")).select("token", F.col("p.grp").alias("pgrp"), F.col("p.chief").alias("pchief"), *(F.col(f"p.{c}").alias(c) for c in ("n", *sketch)))
     against = lists.alias("x").join(pivots.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.grp <> y.pgrp") & _within(percent, "x", "y"))
     against = against.select(F.col("x.grp").alias("grp"), F.col("y.pchief").alias("chief")).distinct()
     inside = groups.where(~alone).select("grp", "chief")
