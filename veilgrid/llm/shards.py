@@ -9,7 +9,7 @@ from ..session import table
 from .common import Scratch, hash62, key_bucket, rank_within
 
 #: Rows that one bucket of a stratum holds on the average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def interleave(df: DataFrame, n_shards: int, id_col: str, text_col: str, stratum_col: str, seed: int = 17) -> DataFrame:
