@@ -108,6 +108,21 @@ def test_pairs_at_the_bound_are_found():
         assert met.mean() >= 0.999
 
 
+def test_near_duplicates_of_a_crowd_over_many_lists(spark, monkeypatch):
+    """A crowd of different near copies that spans hundreds of lists, beside vectors without clusters: no link is lost."""
+    monkeypatch.setattr(embed_dedup, "PER_LIST", 5)
+    monkeypatch.setattr(embed_dedup, "PART", 256)
+    rng = np.random.default_rng(4)
+    crowd = unit(rng.normal(size=(1, 64))) + rng.normal(size=(1500, 64)) * 0.27 / 8
+    x = np.concatenate([crowd, rng.normal(size=(300, 64))])[rng.permutation(1800)]
+    got = {r.id: r for r in embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA), "vec_id", "embedding", "label", 0.93).collect()}
+    link = unit(x) @ unit(x).T >= 0.93
+    np.fill_diagonal(link, False)
+    assert link.sum() > 500_000
+    assert [got[i].n_links for i in range(1800)] == link.sum(1).tolist()
+    assert len({r.component_id for r in got.values()}) == 1800 - int((link.sum(1) > 0).sum()) + 1
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA), "vec_id", "embedding", "label", 0.93).count() == 0
     one = embed_dedup.near_duplicates(spark.createDataFrame([(4, None, None)], SCHEMA), "vec_id", "embedding", "label", 0.93).collect()

@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
 from .common import Scratch, components, hash62
 from .vectors import MOST_LISTS, PER_LIST, SAMPLE, cosines, kmeans, matrix, sample, squared, unit, usable
 
-#: Nearest lists that a vector searches, its own included.
+#: Nearest centroids whose bisectors tell which lists may hold a vector within reach; how many lists those are is not bounded.
 PROBES = 24
-#: Stored and searching vectors that meet in one task, on the average of a larger list.
+#: Entries of a label in one block, a run of lists; blocks meet in one task, two and one on the average.
 PART = 2048
+#: Blocks whose spans of lists are sent to all tasks; with more, they are joined by label.
+MOST_BLOCKS = 500_000
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class Quantiser:
     @staticmethod
     def fit(x: np.ndarray, k: int, spaces: int = 8, words: int = 256) -> Quantiser:
         c = kmeans(x, k)
+        c = c[_near_by_near(c)]
         rest = x - c[np.concatenate([np.argmin(squared(x[i : i + 4096], c), 1) for i in range(0, len(x), 4096)])]
         cuts = np.linspace(0, x.shape[1], min(spaces, x.shape[1]) + 1).astype(int).tolist()
         some = rest[: words * 16]
@@ -45,85 +50,143 @@ class Quantiser:
         error = sum(((p - book[codes[:, m]]) ** 2).sum(1) for m, (p, book) in enumerate(zip(self.parts(rest), self.books, strict=True)))
         return codes.astype(np.uint8), np.sqrt(error)
 
-    def distances(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """From each residual to each code: sums of looked-up distances."""
-        out = np.zeros((len(rest), len(codes)))
-        for m, (p, book) in enumerate(zip(self.parts(rest), self.books, strict=True)):
-            out += squared(p, book)[:, codes[:, m]]
-        return np.sqrt(out)
+    def distances(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """From what each code stands for (rows) to each vector (columns): sums of looked-up products.
+
+        With y' = c + words, x * y' is x * c and a product for each run of dimensions, which no list changes."""
+        same = (self.c @ x.T)[lists]
+        stands = self.c[lists]
+        for m, (p, book) in enumerate(zip(self.parts(x), self.books, strict=True)):
+            same += (book @ p.T)[codes[:, m]]
+            stands[:, self.cuts[m] : self.cuts[m + 1]] += book[codes[:, m]]
+        return np.sqrt(np.maximum((stands * stands).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * same, 0))
+
+    def within(self, d: np.ndarray, least: np.ndarray, most: np.ndarray, reach: float) -> np.ndarray:
+        """From squared distances of vectors to centroids: the lists that may hold a vector y within reach, for each x.
+
+        `least` and `most` are the distances of a list's own vectors from its centroid, so |x - c| is within reach of
+        them. And y is no nearer to another centroid o than to its own, c, so x is beyond their bisector by reach at most:
+        |x - c|^2 - |x - o|^2 <= 2 * reach * |c - o|.
+        """
+        far = np.sqrt(d)
+        out = (far <= most + reach) & (far >= least - reach)
+        n = min(PROBES, len(self.c))
+        for o in np.argpartition(d, n - 1, axis=1)[:, :n].T:
+            out &= d - np.take_along_axis(d, o[:, None], 1) <= 2 * reach * self.apart[o] + 1e-6
+        return out
+
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between centroids, for each task that needs them (64 MB at most)."""
+        return np.concatenate([np.sqrt(squared(self.c[i : i + 256], self.c)).astype(np.float32) for i in range(0, len(self.c), 256)])
+
+
+def _near_by_near(c: np.ndarray) -> np.ndarray:
+    """An order of centroids in which neighbours are near: halves along the widest direction, again and again."""
+    done, todo = [], [np.arange(len(c))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= 2:
+            done += at.tolist()
+            continue
+        x = c[at] - c[at].mean(0)
+        end = x[(x * x).sum(1).argmax()]
+        other = x[((x - end) ** 2).sum(1).argmax()]
+        at = at[np.argsort(x @ (other - end), kind="stable")]
+        todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+    return np.array(done)
 
 
 def _listed(quantiser):
-    """Rows (label, vec, id, copies) to one row for each list searched: rank 0 is the list in which the vector is stored."""
+    """Rows (label, vec, id, copies) with the list that a vector is stored in, and how far its centroid is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pq = quantiser.value
-        most = min(PROBES, len(pq.c))
+        c = quantiser.value.c
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                x = unit(matrix(part.column("vec")))
-                near = np.argsort(squared(x, pq.c), 1, kind="stable")[:, :most].astype(np.int32)
-                row = pa.array(np.repeat(np.arange(len(x)), most))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * most, pa.int32()), pa.array(near.ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(row) for c in ("label", "id", "vec", "copies")), pa.array(near.ravel()), pa.array(np.tile(np.arange(most, dtype=np.int32), len(x))), lists.take(row)], ["label", "id", "vec", "copies", "list", "rank", "lists"])
+                d = squared(unit(matrix(part.column("vec"))), c)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in ("label", "id", "vec", "copies")), pa.array(d.argmin(1).astype(np.int32)), pa.array(np.sqrt(d.min(1)))], ["label", "id", "vec", "copies", "list", "far"])
+
+    return run
+
+
+def _asking(quantiser, least: np.ndarray, most: np.ndarray, reach: float):
+    """Rows with `own`, a vector's block, and `spans`, the first and last list of each block of its label, to one row for each
+    block that it searches: its own, and of those after it all that hold part of a list within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pq = quantiser.value
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                own, spans = part.column("own").to_numpy(), part.column("spans")
+                row = np.repeat(np.arange(len(own)), pc.list_value_length(spans).to_numpy())
+                block, lo, hi = (spans.flatten().field(n).to_numpy() for n in ("block", "lo", "hi"))
+                after = block >= own[row]
+                row, block, lo, hi = row[after], block[after], lo[after], hi[after]
+                hit = block == own[row]
+                if not hit.all():
+                    held = np.zeros((len(own), len(pq.c) + 1), np.int32)
+                    held[:, 1:] = np.cumsum(pq.within(squared(unit(matrix(part.column("vec"))), pq.c), least, most, reach), 1)
+                    hit |= held[row, hi + 1] > held[row, lo]
+                row, block = row[hit], block[hit]
+                for j in range(0, len(row), 16384):
+                    at = pa.array(row[j : j + 16384])
+                    yield pa.RecordBatch.from_arrays([*(part.column(n).take(at) for n in ("label", "id", "vec", "copies", "own")), pa.array(block[j : j + 16384])], ["label", "id", "vec", "copies", "own", "block"])
 
     return run
 
 
-def _linked(quantiser, least: float):
-    """A part of a list and the vectors that search it, to counts of links and to edges that join what is linked here.
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins a[i] with b[i] in `root`, which holds for each place the first place of its tree."""
+    while True:
+        high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+        open_ = high != low
+        if not open_.any():
+            return
+        a, b = a[open_], b[open_]
+        np.minimum.at(root, high[open_], low[open_])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def _linked(quantiser, least: float, reach: float):
+    """A block and the vectors that search it, to counts of links and to edges that join what is linked here.
 
     The code of a stored vector y bounds its distance from x: |x - y| >= |x - code(y)| - error(y). Only pairs that this
-    leaves within reach are compared, exactly. A pair is seen once from x; where y doesn't search x's list in turn, y's
-    count is raised here too, so that each pair counts once for either side.
+    leaves within reach are compared, exactly. Two vectors of one block see each other; of two blocks only the vectors of the
+    earlier one search, so y's count is raised here too.
     """
-    reach = np.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
 
     def run(key, stored: pa.Table, asking: pa.Table) -> pa.Table:
         pq = quantiser.value
-        ids: list[np.ndarray] = []
-        links: list[np.ndarray] = []
-        to: list[np.ndarray] = []
+        got = [np.zeros(0, np.int64)] * 3
         if stored.num_rows and asking.num_rows:
-            center = pq.c[int(stored.column("list")[0].as_py())]
             y, x = matrix(stored.column("vec")), matrix(asking.column("vec"))
             uy, ux = unit(y), unit(x)
-            codes, error = pq.encode(uy - center)
+            lists = stored.column("list").to_numpy()
+            codes, error = pq.encode(uy - pq.c[lists])
             yid, xid = stored.column("id").to_numpy(), asking.column("id").to_numpy()
             ycopies, xcopies = stored.column("copies").to_numpy(), asking.column("copies").to_numpy()
-            ylists, xlists = matrix(stored.column("lists")), matrix(asking.column("lists"))
-            root = {}
-
-            def find(a: int) -> int:
-                while (up := root.setdefault(a, a)) != a:
-                    root[a] = up = root[up]
-                    a = up
-                return a
-
+            across = asking.column("own").to_numpy() != stored.column("block").to_numpy()[0]
+            ids, place = np.unique(np.concatenate([yid, xid]), return_inverse=True)
+            yat, xat = place[: len(yid)], place[len(yid) :]
+            root, links = np.arange(len(ids)), np.zeros(len(ids))
             for i in range(0, len(x), 512):
-                row, col = np.nonzero(pq.distances(ux[i : i + 512] - center, codes) - error[None, :] <= reach)
+                col, row = np.nonzero(pq.distances(ux[i : i + 512], lists, codes) <= reach + error[:, None])
                 row += i
                 other = xid[row] != yid[col]
                 row, col = row[other], col[other]
-                if not len(row):
-                    continue
-                hit = cosines(x[row], y[col]) >= least
+                hit = np.concatenate([np.zeros(0, bool), *(cosines(x[row[j : j + 65536]], y[col[j : j + 65536]]) >= least for j in range(0, len(row), 65536))])
                 row, col = row[hit], col[hit]
-                back = (ylists[col] == xlists[row, :1]).any(1)  # y searches x's list too
-                both = ~back
-                ids += [xid[row], yid[col][both]]
-                links += [ycopies[col], xcopies[row][both]]
-                for a, b in zip(xid[row].tolist(), yid[col].tolist(), strict=True):
-                    a, b = find(a), find(b)
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-            if ids:
-                own, place = np.unique(np.concatenate(ids), return_inverse=True)
-                total = np.bincount(place, np.concatenate(links)).astype(np.int64)
-                ids, links, to = [own], [total], [np.array([find(a) for a in own.tolist()])]
-        got = [np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (ids, links, to)]
-        return pa.Table.from_arrays([pa.array(v) for v in got], ["id", "links", "joined"])
+                links += np.bincount(xat[row], ycopies[col], len(ids))
+                both = across[row]
+                links += np.bincount(yat[col[both]], xcopies[row[both]], len(ids))
+                _join(root, xat[row], yat[col])
+            some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))) | (np.bincount(root, minlength=len(ids)) > 1))
+            got = [ids[some], links[some], ids[root[some]]]
+        return pa.Table.from_arrays([pa.array(v.astype(np.int64)) for v in got], ["id", "links", "joined"])
 
     return run
 
@@ -133,10 +196,10 @@ def near_duplicates(df: DataFrame, id_col: str, vec_col: str, label_col: str, le
     and the cosine of their vectors is at least `least`.
 
     Equal vectors of a label are one entry with a count, so copies are never paired with each other. Entries are searched by
-    product quantisation (see _linked): each looks into the PROBES lists nearest to it. A pair is missed only if
-    neither vector's list is among the other's; at the bound of 0.93 that befell none of 5,000 pairs made at this distance
-    with 64 lists and 24 probes, and none with 256 lists.
-    A list of more than PART entries of a label is dealt out in parts on both sides.
+    product quantisation (see _linked). Each searches all lists that may hold a vector within reach by a proven bound (see
+    Quantiser.within), so no pair is missed, whatever the data; where vectors form no clusters those are most lists, and the
+    work grows with the square of a label's entries. Lists stand in an order of near by near; each PART entries of a label
+    in this order are a block, so an entry moves once for a block, not for a list, and a crowded list is several blocks.
 
     Rows without id, label or direction, or of another dimension (see usable), link with nothing. An id that repeats
     must not: its rows would share one count. An empty table gives no rows.
@@ -152,19 +215,35 @@ def near_duplicates(df: DataFrame, id_col: str, vec_col: str, label_col: str, le
     all_ids = df.select(F.col(id_col).cast("long").alias("id"))
     if not len(some):
         return all_ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    sent = spark.sparkContext.broadcast(Quantiser.fit(some, k))  # MOST_LISTS vectors and 256 codewords a space at most
+    quantiser = Quantiser.fit(some, k)
+    sent = spark.sparkContext.broadcast(quantiser)  # MOST_LISTS vectors and 256 codewords a space at most
     label = rows.schema["label"].dataType.simpleString()
-    listed = entries.mapInArrow(_listed(sent), f"label {label}, id long, vec array<double>, copies long, list int, rank int, lists array<int>")
-    listed = scratch.save(listed, "listed")
-    sizes = listed.groupBy("label", "list").agg(
-        F.ceil(F.sum((F.col("rank") == 0).cast("long")) / PART).cast("int").alias("s"), F.ceil(F.count(F.lit(1)) / (2 * PART)).cast("int").alias("t")
-    ).where("s > 0")
-    parted = listed.join(sizes, ["label", "list"])
-    stored = parted.where("rank = 0").withColumn("p", (hash62("id") % F.col("s")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    asking = parted.withColumn("q", (hash62("id") % F.col("t")).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    keys, cols = ["label", "list", "p", "q"], ["label", "list", "p", "q", "id", "vec", "copies", "lists"]
-    asking = asking.select(*(F.col(c).alias(c) for c in cols))  # columns of its own
-    found = stored.select(cols).groupBy(keys).cogroup(asking.groupBy(keys)).applyInArrow(_linked(sent, least), "id long, links long, joined long")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-6
+    listed = scratch.save(entries.mapInArrow(_listed(sent), f"label {label}, id long, vec array<double>, copies long, list int, far double"), "listed")
+    near, far = np.full(len(quantiser.c), np.inf), np.full(len(quantiser.c), -np.inf)
+    for r in listed.groupBy("list").agg(F.min("far").alias("near"), F.max("far").alias("far")).collect():  # MOST_LISTS rows at most
+        near[r["list"]], far[r["list"]] = r["near"], r["far"]
+
+    n = F.count(F.lit(1))
+    counts = listed.groupBy("label", "list").agg(n.alias("n"))
+    counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("list")) - F.col("n"))
+    counts = scratch.save(counts, "counts")
+    block = lambda at: F.floor(at / PART).cast("int")
+    runs = counts.withColumn("block", F.explode(F.sequence(block(F.col("before")), block(F.col("before") + F.col("n") - 1))))
+    runs = runs.groupBy("label", "block").agg(F.min("list").alias("lo"), F.max("list").alias("hi"))
+    spans = scratch.save(runs.groupBy("label").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("spans"), n.alias("blocks")), "spans")
+    small = (spans.agg(F.sum("blocks")).first()[0] or 0) <= MOST_BLOCKS
+    blocked = listed.join(counts, ["label", "list"]).withColumn("block", block(F.col("before") + hash62("id") % F.col("n"))).drop("far", "n", "before")
+    blocked = scratch.save(blocked, "blocked")
+    asking = blocked.withColumnRenamed("block", "own").join(F.broadcast(spans) if small else spans, "label").select("label", "id", "vec", "copies", "own", "spans")
+    asking = asking.mapInArrow(_asking(sent, near, far, reach), f"label {label}, id long, vec array<double>, copies long, own int, block int")
+    asking = scratch.save(asking, "asking")
+    sizes = asking.groupBy("label", "block").agg(F.ceil(n / (2 * PART)).cast("int").alias("t"))
+    stored = blocked.join(sizes, ["label", "block"]).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("t") - 1))).drop("t")
+    asking = asking.join(sizes, ["label", "block"]).withColumn("q", (hash62("id") % F.col("t")).cast("int"))
+    keys = ["label", "block", "q"]
+    asking = asking.select(*(F.col(c).alias(c) for c in (*keys, "id", "vec", "copies", "own")))  # columns of its own
+    found = stored.groupBy(keys).cogroup(asking.groupBy(keys)).applyInArrow(_linked(sent, least, reach), "id long, links long, joined long")
     found = scratch.save(found, "found")
     comps = components(spark, found.select(F.col("id").alias("a"), F.col("joined").alias("b")), scratch, "joined")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
