@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from veilgrid.llm import ann, embed_dedup
+from veilgrid.llm import ann, embed_dedup, vectors
 from veilgrid.llm.vectors import Graph, kmeans, squared, unit
 
 
@@ -73,6 +73,25 @@ def test_search_of_little(spark):
     assert ann.search(df, none, "vec_id", "embedding", 5).count() == 0
 
 
+@pytest.mark.parametrize("probes", [48, 1])
+def test_search_finds_k_from_lists_of_one_vector(spark, probes, monkeypatch):
+    """Vectors that are their own centroids, at a distance of 0: as many rows as asked, and all rows searched where the lists hold too few."""
+    monkeypatch.setattr(vectors, "PER_LIST", 2)
+    monkeypatch.setattr(ann, "PROBES", probes)
+    monkeypatch.setattr(ann, "REPLICAS", 1)
+    x = np.random.default_rng(2).normal(size=(600, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], SCHEMA)
+    got = ann.search(df, df.where("vec_id % 3 = 0"), "vec_id", "embedding", 5).toPandas()
+    assert got.groupby("query_id")["rank"].apply(lambda r: sorted(r) == [1, 2, 3, 4, 5]).sum() == 200
+    assert not (got.query_id == got.vec_id).any()
+    assert all(abs(s - cos(x[q], x[v])) < 1e-12 for q, v, s in zip(got.query_id, got.vec_id, got.score, strict=True))
+    if probes == 1:  # nearly all queries are short, and so exact
+        s = unit(x[::3]) @ unit(x).T
+        s[np.arange(200), np.arange(0, 600, 3)] = -2
+        best = {(q * 3, v) for q, row in enumerate(np.argsort(-s, 1)[:, :5]) for v in row.tolist()}
+        assert len(best & set(zip(got.query_id.tolist(), got.vec_id.tolist(), strict=True))) >= 900
+
+
 @pytest.mark.parametrize("part", [2048, 16])
 def test_near_duplicates(spark, part, monkeypatch):
     monkeypatch.setattr(embed_dedup, "PART", part)

@@ -21,8 +21,9 @@ PROBES, PROBE_RATIO = 48, 1.35
 PART = 4096
 
 
-def _lists(graph, most: int, ratio: float):
-    """Rows (id, vec) to rows (list, id, vec), one for each list."""
+def _lists(graph, most: int, ratio: float, held: np.ndarray | None = None, floor: int = 0):
+    """Rows (id, vec) to rows (list, id, vec), one for each list. Whatever the ratio, the nearest lists are taken until they hold
+    `floor` vectors; `held` has what each list holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -30,7 +31,10 @@ def _lists(graph, most: int, ratio: float):
                 part = b.slice(i, 2048)
                 x = matrix(part.column("vec"))
                 ids, far = graph.value.search(unit(x), most)
-                row, place = np.nonzero(far <= ratio * far[:, :1] + 1e-12)
+                taken = far <= ratio * far[:, :1] + 1e-12
+                if held is not None:
+                    taken |= np.isfinite(far) & (np.cumsum(held[ids], 1) - held[ids] < floor)
+                row, place = np.nonzero(taken)
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, place]), part.column("id").take(at), part.column("vec").take(at)], ["list", "id", "vec"])
 
@@ -68,7 +72,8 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int)
 
     Centroids come from a bounded sample; every row of df is indexed. A vector near a boundary stands in several lists. A
     query walks the graph of centroids, which every task holds, and reads the lists whose distance is within a ratio of the
-    nearest; scores are exact, in doubles, on the vectors as given. A list of more than PART vectors is dealt out in
+    nearest, and in any case so many that they hold twice as many vectors as are sure to have k others among them; a query that
+    still finds fewer than k is held against all rows. Scores are exact, in doubles, on the vectors as given. A list of more than PART vectors is dealt out in
     parts, each of which meets the list's queries on its own, so one crowded list is no single task's work.
 
     Rows of a query's own id are no candidates. Nulls, vectors without direction and those of another dimension
@@ -79,15 +84,34 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int)
     scratch = Scratch(spark)
     rows = scratch.save(usable(df, id_col, vec_col), "rows")
     asked = usable(queries, id_col, vec_col)
-    graph = spark.sparkContext.broadcast(Graph.build(fit_centroids(rows)))  # MOST_LISTS vectors at most
+    centroids = fit_centroids(rows)
+    graph = spark.sparkContext.broadcast(Graph.build(centroids))  # MOST_LISTS vectors at most
     posted = rows.mapInArrow(_lists(graph, REPLICAS, REPLICA_RATIO), "list long, id long, vec array<double>")
     posted = scratch.save(posted, "lists")
-    parts = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    parts = F.broadcast(parts)  # a row for each centroid
+    sizes = scratch.save(posted.groupBy("list").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    held = np.zeros(len(centroids), np.int64)
+    for r in sizes.collect():  # a row for each centroid
+        held[r["list"]] = r["n"]
+    parts = F.broadcast(sizes.select("list", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
     stored = posted.join(parts, "list").withColumn("part", (hash62("id") % F.col("parts")).cast("int")).drop("parts")
-    probes = asked.mapInArrow(_lists(graph, PROBES, PROBE_RATIO), "list long, id long, vec array<double>")
+    probes = asked.mapInArrow(_lists(graph, PROBES, PROBE_RATIO, held, 2 * REPLICAS * (k + 1)), "list long, id long, vec array<double>")
     probes = probes.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    near = stored.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
+    found = "query_id long, vec_id long, score double"
+    near = stored.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(_nearest(k), found)
+    best = scratch.save(_best(near, k), "best")
+
+    enough = best.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("id"))
+    short = scratch.save(asked.join(enough, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return best
+    n = max(1, -(-int(rows.count()) // PART))
+    dealt = rows.withColumn("part", (hash62("id") % n).cast("int"))
+    whole = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    late = _best(dealt.groupBy("part").cogroup(whole.groupBy("part")).applyInArrow(_nearest(k), found), k)
+    return best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").union(late)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
     best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
