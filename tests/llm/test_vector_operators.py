@@ -142,6 +142,19 @@ def test_near_duplicates_of_a_crowd_over_many_lists(spark, monkeypatch):
     assert len({r.component_id for r in got.values()}) == 1800 - int((link.sum(1) > 0).sum()) + 1
 
 
+def test_vectors_of_mixed_dimensions(spark):
+    """Vectors of a rarer dimension link and are found among themselves as those of the most frequent one."""
+    x = {i: np.random.default_rng(i % 40).normal(size=16 if i < 120 else 8 if i < 170 else 3) for i in range(171)}
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in x.items()], SCHEMA)
+    got = {r.id: r for r in embed_dedup.near_duplicates(df, "vec_id", "embedding", "label", 0.93).collect()}
+    near = {i: {j for j in x if j != i and len(x[j]) == len(x[i]) and cos(x[i], x[j]) >= 0.93} for i in x}
+    assert near[120] and near[0] and not near[170]
+    assert all(got[i].n_links == len(near[i]) and got[i].component_id == min({i, *near[i]}) for i in x)
+    found = ann.search(df, df.where("vec_id % 10 = 0"), "vec_id", "embedding", 5).toPandas()
+    assert found.groupby("query_id")["rank"].max().to_dict() == dict.fromkeys(range(0, 170, 10), 5)
+    assert all(len(x[q]) == len(x[v]) and abs(s - cos(x[q], x[v])) < 1e-12 for q, v, s in zip(found.query_id, found.vec_id, found.score, strict=True))
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA), "vec_id", "embedding", "label", 0.93).count() == 0
     one = embed_dedup.near_duplicates(spark.createDataFrame([(4, None, None)], SCHEMA), "vec_id", "embedding", "label", 0.93).collect()

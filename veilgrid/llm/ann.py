@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .common import Scratch, hash62
-from .vectors import Graph, cosines, fit_centroids, matrix, unit, usable
+from .vectors import Graph, cosines, dimensions, fit_centroids, matrix, unit, usable
 
 #: A vector goes to every list, up to REPLICAS, whose centroid is no farther than REPLICA_RATIO times the nearest one.
 REPLICAS, REPLICA_RATIO = 8, 1.10
@@ -72,18 +73,31 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vec_col: str, k: int)
 
     Centroids come from a bounded sample; every row of df is indexed. A vector near a boundary stands in several lists. A
     query walks the graph of centroids, which every task holds, and reads the lists whose distance is within a ratio of the
-    nearest, and in any case so many that they hold twice as many vectors as are sure to have k others among them; a query that
-    still finds fewer than k is held against all rows. Scores are exact, in doubles, on the vectors as given. A list of more than PART vectors is dealt out in
-    parts, each of which meets the list's queries on its own, so one crowded list is no single task's work.
-
-    Rows of a query's own id are no candidates. Nulls, vectors without direction and those of another dimension
-    take no part (see usable); an id that repeats is one candidate, at its best score. Ties go to the smaller id.
-    Fewer candidates give fewer rows; an empty table gives none. Other columns are ignored.
+    nearest, and in any case so many that they hold twice as many vectors as are sure to have k others among them; a query
+    that still finds fewer than k is held against all rows. Scores are exact, in doubles, on the vectors as given. A list of
+    more than PART vectors is dealt out in parts, each of which meets the list's queries on its own, so one crowded list is
+    no single task's work.
+
+    Rows of a query's own id are no candidates, nor are vectors of another dimension than the query's: each dimension has
+    an index of its own. Nulls and vectors without direction take no part (see usable); an id that repeats is one
+    candidate, at its best score. Ties go to the smaller id. Fewer candidates give fewer rows; an empty table gives none.
+    Other columns are ignored.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = scratch.save(usable(df, id_col, vec_col), "rows")
-    asked = usable(queries, id_col, vec_col)
+    asked = scratch.save(usable(queries, id_col, vec_col), "asked")
+    wanted = sorted(set(dimensions(rows)) & set(dimensions(asked)))
+    if not wanted:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_found(*(t.where(F.size("vec") == d) for t in (rows, asked)), k) for d in wanted]
+    return found[0] if len(found) == 1 else _best(reduce(DataFrame.union, found), k)
+
+
+def _found(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The k nearest of rows (id, vec) for those asked, all of one dimension."""
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
     centroids = fit_centroids(rows)
     graph = spark.sparkContext.broadcast(Graph.build(centroids))  # MOST_LISTS vectors at most
     posted = rows.mapInArrow(_lists(graph, REPLICAS, REPLICA_RATIO), "list long, id long, vec array<double>")

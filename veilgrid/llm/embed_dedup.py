@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .common import Scratch, components, hash62
-from .vectors import MOST_LISTS, PER_LIST, SAMPLE, cosines, kmeans, matrix, sample, squared, unit, usable
+from .vectors import MOST_LISTS, PER_LIST, SAMPLE, cosines, dimensions, kmeans, matrix, sample, squared, unit, usable
 
 #: Nearest centroids whose bisectors tell which lists may hold a vector within reach; how many lists those are is not bounded.
 PROBES = 24
@@ -201,20 +201,31 @@ def near_duplicates(df: DataFrame, id_col: str, vec_col: str, label_col: str, le
     work grows with the square of a label's entries. Lists stand in an order of near by near; each PART entries of a label
     in this order are a block, so an entry moves once for a block, not for a list, and a crowded list is several blocks.
 
-    Rows without id, label or direction, or of another dimension (see usable), link with nothing. An id that repeats
-    must not: its rows would share one count. An empty table gives no rows.
+    Rows without id, label or direction (see usable) link with nothing. Only vectors of equal dimension link: each dimension
+    that two rows or more have is a search of its own. An id that repeats must not: its rows would share one count. An
+    empty table gives no rows.
     """
     spark = df.sparkSession
+    rows = Scratch(spark).save(usable(df, id_col, vec_col, label_col).where(F.col("label").isNotNull()), "rows")
+    all_ids = df.select(F.col(id_col).cast("long").alias("id"))
+    found = [_found(rows.where(F.size("vec") == d), least) for d in dimensions(rows, 2)]
+    if not found:
+        return all_ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    told = reduce(DataFrame.union, found)
+    out = all_ids.join(told, all_ids.id == told["__id"], "left")
+    component = F.coalesce("component_id", "id")
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def _found(rows: DataFrame, least: float) -> DataFrame:
+    """Rows (__id, n_links, component_id) for all rows (id, vec, label), vectors of one dimension."""
+    spark = rows.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.save(usable(df, id_col, vec_col, label_col).where(F.col("label").isNotNull()), "rows")
     entry = F.struct("label", F.transform("vec", lambda v: v + F.lit(0.0)).alias("vec"))  # -0.0 is 0.0
     keyed = rows.select("id", entry.alias("e")).select("id", "e.*")
     entries = scratch.save(keyed.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "entries").withColumnRenamed("rep", "id")
     k = max(1, min(MOST_LISTS, entries.count() // PER_LIST))
     some = sample(entries, max(k * SAMPLE, 4096) + 1000)
-    all_ids = df.select(F.col(id_col).cast("long").alias("id"))
-    if not len(some):
-        return all_ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     quantiser = Quantiser.fit(some, k)
     sent = spark.sparkContext.broadcast(quantiser)  # MOST_LISTS vectors and 256 codewords a space at most
     label = rows.schema["label"].dataType.simpleString()
@@ -251,10 +262,7 @@ def near_duplicates(df: DataFrame, id_col: str, vec_col: str, label_col: str, le
         F.col("label").alias("__label"), F.col("vec").alias("__vec"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"),
     )
-    told = keyed.join(done, (keyed.label == done["__label"]) & (keyed.vec == done["__vec"])).select(F.col("id").alias("__id"), "n_links", "component_id")
-    out = all_ids.join(told, all_ids.id == told["__id"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return keyed.join(done, (keyed.label == done["__label"]) & (keyed.vec == done["__vec"])).select(F.col("id").alias("__id"), "n_links", "component_id")
 
 
 def op7_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

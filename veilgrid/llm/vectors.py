@@ -19,15 +19,20 @@ SAMPLE = 24
 
 def usable(df: DataFrame, id_col: str, vec_col: str, label_col: str | None = None) -> DataFrame:
     """Rows (id, vec as doubles, label) that take part: an id, and a vector that isn't null, empty or zero, with finite
-    components only, of the dimension that most vectors have (the smaller of two as frequent)."""
+    components only. Vectors may differ in dimension; see dimensions."""
     cols = [F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")]
-    rows = df.select(*cols, *([F.col(label_col).alias("label")] if label_col else [])).where(
+    return df.select(*cols, *([F.col(label_col).alias("label")] if label_col else [])).where(
         F.col("id").isNotNull() & F.col("vec").isNotNull()
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vec", lambda x: x != 0)
     )
-    dims = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vec") == (dims["d"] if dims else 0))
+
+
+def dimensions(rows: DataFrame, least: int = 1) -> list[int]:
+    """The dimensions that at least so many of the usable() rows have. Only vectors of one dimension have a cosine, so each
+    dimension has an index of its own."""
+    counts = rows.groupBy(F.size("vec").alias("d")).count().where(F.col("count") >= least)
+    return sorted(r["d"] for r in counts.collect())
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
