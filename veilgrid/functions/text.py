@@ -106,6 +106,16 @@ def luhn_valid(digits: Column) -> Column:
     return (total % 10 == 0) & (F.length(bare) >= 13)
 
 
+def may_be_phone(found: Column) -> Column:
+    """The guard on candidates for phone numbers: neither a date nor a bare run of digits."""
+    return ~matches(F.trim(found), P.DOTTED_DATE) & ~matches(F.trim(found), P.BARE_DIGITS)
+
+
+def phone_candidates(text: Column) -> Column:
+    """What looks like a phone number anywhere on a line, before the guard."""
+    return F.regexp_extract_all(text, F.lit(java(P.PHONE)), F.lit(0))
+
+
 def entities(text: Column) -> Column:
     """What the deterministic recognisers find on a line: an array of (entity, matched, score)."""
 
@@ -114,9 +124,8 @@ def entities(text: Column) -> Column:
         kept = F.filter(all_, keep) if keep else all_
         return F.transform(kept, lambda m: F.struct(F.lit(entity).alias("entity"), m.alias("matched"), F.lit(P.SCORES[entity] if score is None else score).alias("score")))
 
-    plain = lambda m: ~matches(F.trim(m), P.DOTTED_DATE) & ~matches(F.trim(m), P.BARE_DIGITS)
     return F.concat(
-        one("IBAN_CODE", P.IBAN, iban_valid), one("EMAIL_ADDRESS", P.EMAIL), one("CREDIT_CARD", P.CARD, luhn_valid), one("PHONE_NUMBER", P.PHONE, plain),
+        one("IBAN_CODE", P.IBAN, iban_valid), one("EMAIL_ADDRESS", P.EMAIL), one("CREDIT_CARD", P.CARD, luhn_valid), one("PHONE_NUMBER", P.PHONE, may_be_phone),
         F.when(matches(text, P.BIC_CONTEXT), one("BIC_CODE", P.BIC)).otherwise(F.array()), one("KONTO", P.KONTO),
         one("DE_ADDRESS", P.ADDRESS_STREET), one("DE_ADDRESS", P.DE_PLZ_CITY, score=0.6),
     )

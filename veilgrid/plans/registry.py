@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import entities, is_recipient_anchor, is_sender_anchor, matches, not_blank, static_rule, static_rule_name
+from ..functions.text import entities, is_recipient_anchor, is_sender_anchor, matches, may_be_phone, not_blank, phone_candidates, static_rule, static_rule_name
 from ..operators import codes, labels, names, regions, tables, verdicts
 from ..schema import LINE, PAGE
 from ..session import table
@@ -109,6 +109,17 @@ def _phone_guard(ls: DataFrame) -> DataFrame:
     return ls.where(matches(_text(), r"^\d[\d\s./\-]{5,}$")).select(*LINE, (~matches(F.trim(_text()), P.DOTTED_DATE) & ~matches(F.trim(_text()), P.BARE_DIGITS)).alias("kept"))
 
 
+def _phone_guard_candidates(ls: DataFrame) -> DataFrame:
+    """Candidates for phone numbers anywhere on lines, and whether the guard keeps them."""
+    found = ls.select(*LINE, F.explode(phone_candidates(_text())).alias("candidate"))
+    return found.select("*", may_be_phone(F.col("candidate")).alias("kept"))
+
+
+def _entities(ls: DataFrame) -> DataFrame:
+    """All kinds that the deterministic recognisers find, counted for each line. The SQL of entities_regex has five of the seven."""
+    return ls.select(*LINE, F.explode(entities(_text())).alias("e")).groupBy(*LINE, "e.entity").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     "rendered_lines": lines,
     "static_rule_match": _over(lambda ls: ls.select(*LINE, static_rule_name(_text()).alias("rule")).where("rule IS NOT NULL")),
@@ -132,9 +143,11 @@ QUERIES: dict[str, Query] = {
     "sender_blocks": _kind("sender"),
     "recipient_blocks": _kind("recipient"),
     "region_boxes": _over(lambda ls: regions.region_boxes(ls, WIDTH, HEIGHT)),
-    "entities_regex": _over(lambda ls: ls.select(*LINE, F.explode(entities(_text())).alias("e")).groupBy(*LINE, "e.entity").agg(F.count(F.lit(1)).alias("n")).where("entity NOT IN ('PHONE_NUMBER', 'DE_ADDRESS')")),
+    "entities_regex": _over(lambda ls: _entities(ls).where("entity NOT IN ('PHONE_NUMBER', 'DE_ADDRESS')")),
+    "entities_all": _over(_entities),
     "classifier_lines": _over(lambda ls: ls.select(*LINE, (F.size(entities(_text())) > 0).alias("pii")).where("pii")),
     "phone_guard": _over(_phone_guard),
+    "phone_guard_candidates": _over(_phone_guard_candidates),
     "verdict_reasons": _over(lambda ls: verdicts.reasons(ls).select(*LINE, "in_table", "reason")),
     "line_boxes": _over(lambda ls: verdicts.line_boxes(verdicts.reasons(ls))),
     "all_boxes": _over(lambda ls: verdicts.all_boxes(ls, WIDTH, HEIGHT)),
