@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -20,6 +20,8 @@ HOT_SHINGLES = 1 << 18
 HEAVY_LIST = 4096
 #: A list of more groups has four more pivots, other ones in every list, so that the links of a crowd soon hang together.
 LONG_LIST = 32
+#: Shingles that a task counts together (32 MB).
+COUNTED = 1 << 22
 #: Candidates' texts are found by a broadcast list of up to this many hashes (16 MB), else by a shuffled join.
 BROADCAST_ROWS = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -75,11 +77,19 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _frequent(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of the shingles that a task meets twice in a block of texts and three times altogether (a lossy count over all texts). They
-    only order prefixes, so it does no harm that a text may count twice."""
+    """Counts of the shingles that a task meets twice among COUNTED in a row (a lossy count over all texts). They only order
+    prefixes, so it does no harm that a text may count twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        held: list[np.ndarray] = []
+        keys, counts, size = [], [], 0
+
+        def fold() -> None:
+            token, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            keys.append(token[n > 1])
+            counts.append(n[n > 1])
+
         for b in blocks(batches, "text"):
             h, ends = word_hashes(b.column("text"))
             runs = window_hashes(h, k)
@@ -87,14 +97,17 @@ def _frequent(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for i in range(1, k):  # runs that cross the end of a text are none
                 at = ends[1:-1] - i
                 whole[at[(at >= 0) & (at < len(runs))]] = False
-            token, n = np.unique(runs[whole], return_counts=True)
-            keys.append(token[n > 1])
-            counts.append(n[n > 1])
-            if len(keys) > 16:
+            held.append(runs[whole])
+            size += len(held[-1])
+            if size > COUNTED:
+                fold()
+                size = 0
                 keys, counts = ([x] for x in _summed(keys, counts))
+        if held:
+            fold()
         if keys:
             token, n = _summed(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(token[n > 2].view(np.int64)), pa.array(n[n > 2])], ["token", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return run
 
@@ -165,6 +178,13 @@ def _within(percent: int, a: str, b: str) -> Column:
     return F.expr(f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND coalesce({bits} <= {most}, true)")
 
 
+def _in_time(percent: int, a: str, b: str) -> Column:
+    """Whether what two prefixes leave from a common token on can hold as many shingles as similar sets share. At the first token that they have
+    in common it does, for every similar pair; so each pair passes there, and at later tokens only where they stand early."""
+    total = f"({a}.n + {b}.n)"
+    return F.expr(f"least({a}.n - {a}.pos, {b}.n - {b}.pos) >= ({percent} * {total} + {99 + percent}) div {100 + percent}")
+
+
 def _within_wide(percent: int) -> Column:
     """The same as _within for rows x and y of nodes, by sketches with about a bit for each shingle; the longer one is folded to the other's length."""
     half = "least(size(x.wide), size(y.wide))"
@@ -212,11 +232,12 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
     Texts whose k-word shingle sets have a Jaccard similarity of `percent` / 100 or more are linked; components are exact.
 
     1. Equal sets are one node; nodes of equal prefix and size are one group.
-    2. Groups that share a shingle of their prefixes meet in its list. Only tokens that several groups have go on.
+    2. Groups that share a shingle of their prefixes meet in its list. Only tokens that several groups have go on, and of tokens with
+       the same groups only the first in the order of shingles: it is the first of them for each group, so no pair is lost.
     3. First, each group of a list is held against two pivots of the list only (six, in a long list), a number linear in the
        list. Links that are verified join nodes to components.
-    4. Then all pairs of groups of a list are filtered by size and sketch, without those that a component joins already.
-       What passes is expanded to members, filtered by their sketches, and verified on whole sets.
+    4. Then all pairs of groups of a list are filtered by size, place (see _in_time) and sketch, without those that a component joins
+       already. What passes is expanded to members, filtered by their sketches, and verified on whole sets.
     So all links between different components are tested; links within one are tested until it is known to hang together.
 
     A null or empty text, or one of white space, has no shingles and links with nothing. Null and repeated ids are rows like any
@@ -234,23 +255,30 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
         order = np.argsort(hot[0])
         sent = spark.sparkContext.broadcast((hot[0][order], hot[1][order]))
         made = scratch.save(rows.select("id", "th", "text").mapInArrow(_prefixed(k, percent, sent), f"id {id_type}, th long, n long, node long, grp long, s0 long, s1 long, s2 long, s3 long, wide array<long>, prefix array<long>"), f"rows{attempt}")
-        tokens = made.where("prefix IS NOT NULL").select(F.explode("prefix").alias("token"), "grp")
-        shared = tokens.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("token", "size")
-        shared = scratch.save(shared, f"shared{attempt}")
-        heavy = shared.where(F.col("size") > HEAVY_LIST).orderBy(F.desc("size"), "token").limit(HOT_SHINGLES).toArrow()
+        tokens = made.where("prefix IS NOT NULL").select(F.posexplode("prefix").alias("pos", "token"), "grp")
+        own = Window.partitionBy("token")
+        met = tokens.repartition("token").groupBy("token", "grp").agg(F.min("pos").alias("pos"))  # all of a token in one shuffle
+        met = met.select("*", F.count(F.lit(1)).over(own).alias("size"), *(F.bit_xor(F.xxhash64(F.lit(i), "grp")).over(own).alias(f"x{i}") for i in range(2)))
+        shared = scratch.save(met.where("size > 1"), f"shared{attempt}")
+        heavy = shared.where(F.col("size") > HEAVY_LIST).select("token", "size").distinct().orderBy(F.desc("size"), "token").limit(HOT_SHINGLES).toArrow()
         more, size = heavy.column("token").to_numpy().view(np.uint64), heavy.column("size").to_numpy()
         new = ~np.isin(more, hot[0])
-        if not new.any():
+        if attempt == 2 or not new.any():
             break
+        for part in ("rows", "shared"):
+            scratch.drop(f"{part}{attempt}")
         hot = np.concatenate([more[new], hot[0]])[:HOT_SHINGLES], np.concatenate([size[new], hot[1]])[:HOT_SHINGLES]
 
     sketch = ["s0", "s1", "s2", "s3"]
     nodes = scratch.save(made.where("node IS NOT NULL").groupBy("node").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("n", "grp", *sketch, "wide"))), "nodes")
-    hits = tokens.join(shared.select("token"), "token").distinct()
+    told = scratch.save(made.select("id", "th", F.col("n").alias("n_shingles"), "node"), "ids")
+    hits = shared.groupBy("size", "x0", "x1", "grp").agg(F.min(F.struct("pos", "token")).alias("t")).select("grp", "t.token", "t.pos")
     groups = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("chief"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in sketch))
     alone = F.col("members") == 1
     groups = scratch.save(groups.select("grp", "chief", "members", "n", *(F.when(alone, F.col(c)).alias(c) for c in sketch)), "groups")
     lists = scratch.save(hits.join(groups, "grp"), "lists")
+    for part in ("rows", "shared"):
+        scratch.drop(f"{part}{attempt}")
 
     # each group against the pivots of each list, and the members of a group against its chief
     def pivot(name: str, *seed: Column | int) -> Column:
@@ -275,8 +303,8 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
     one = placed.groupBy("grp").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).select("grp", F.when(F.col("c0") == F.col("c1"), F.col("c0")).alias("comp"))
     known = scratch.save(lists.join(one, "grp"), "known")
     open_lists = known.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count_if(F.col("comp").isNull()).alias("mixed")).where("c0 <> c1 OR mixed > 0").select("token")
-    still = known.join(open_lists, "token").select("token", "grp", "comp", "n", *sketch)
-    pairs = still.alias("x").join(still.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.grp < y.grp") & ~F.coalesce(F.col("x.comp") == F.col("y.comp"), F.lit(False)) & _within(percent, "x", "y"))
+    still = known.join(open_lists, "token").select("token", "grp", "comp", "pos", "n", *sketch)
+    pairs = still.alias("x").join(still.alias("y"), (F.col("x.token") == F.col("y.token")) & F.expr("x.grp < y.grp") & ~F.coalesce(F.col("x.comp") == F.col("y.comp"), F.lit(False)) & _in_time(percent, "x", "y") & _within(percent, "x", "y"))
     pairs = pairs.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
     pairs = pairs.union(one.where("comp IS NULL").select(F.col("grp").alias("g"), F.col("grp").alias("h")))
     left, right = placed.select(F.col("grp").alias("g"), "node", "comp", "n", *sketch), placed.select(F.col("grp").alias("h"), "node", "comp", "n", *sketch)
@@ -285,7 +313,8 @@ def similar_texts(df: DataFrame, id_col: str, text_col: str, k: int, percent: in
     late = _verified(rows, nodes, rest, k, percent, scratch, "rest")
     comps = components(spark, links.union(late), scratch, "all")
 
-    told = made.select("id", "th", F.col("n").alias("n_shingles"), "node")
+    for part in ("nodes", "groups", "lists", "placed", "known"):
+        scratch.drop(part)
     out = told.join(comps.withColumnRenamed("id", "__node"), told.node == F.col("__node"), "left")
     return out.select("id", "th", "n_shingles", F.coalesce("component", "node").alias("component"))
 
