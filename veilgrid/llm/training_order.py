@@ -7,8 +7,10 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -16,6 +18,8 @@ from .bpe import default_tokenizer, encode_column
 from .common import Scratch, blocks
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Tasks that write shards, at most; with more shards, each writes a run of them.
+MOST_TASKS = 20_000
 
 
 def _round(half: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -46,28 +50,32 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(path: str, stride: int, end_id: int):
-    """For a batch: key and piece of each row, its count of tokens, and its ids padded to the stride."""
+def _sequences(path: str, stride: int, end_id: int, unit: str):
+    """Texts to rows of their sequences: the task's number and the place in it, key, piece, and the ids without padding."""
 
-    def of(batch: pa.RecordBatch):
-        ids, ends = encode_column(batch.column("text"), path)
-        n = np.diff(ends) + 1
-        whole = np.empty(len(ids) + len(n), np.uint32)
-        at_end = ends[1:] + np.arange(len(n))
-        whole[at_end] = end_id
-        keep = np.ones(len(whole), bool)
-        keep[at_end] = False
-        whole[keep] = ids
-        count = -(-n // stride)
-        row = np.repeat(np.arange(len(n)), count)
-        piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        used = np.minimum(n[row] - piece * stride, stride)
-        begin = (ends[:-1] + np.arange(len(n)))[row] + piece * stride
-        place = begin[:, None] + np.arange(stride)[None, :]
-        valid = np.arange(stride)[None, :] < used[:, None]
-        return row, piece, used, np.where(valid, whole[np.minimum(place, len(whole) - 1)], 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in blocks(batches, "text"):
+            ids, ends = encode_column(batch.column("text"), path)
+            if max(int(ids.max(initial=0)), end_id) > np.iinfo(unit).max:
+                raise ValueError("an id needs wide records")
+            n = np.diff(ends) + 1
+            whole = np.full(len(ids) + len(n), end_id, unit)
+            own = np.ones(len(whole), bool)
+            own[ends[1:] + np.arange(len(n))] = False
+            whole[own] = ids
+            count = -(-n // stride)
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = (ends[:-1] + np.arange(len(n)))[row] + piece * stride  # where one ends the next begins
+            cuts = (np.append(start, len(whole)) * whole.itemsize).astype(np.int32)
+            column = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(whole)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(np.arange(at, at + len(row))), batch.column("key").take(pa.array(row)), pa.array(piece.astype(np.int32)), column], ["part", "at", "key", "piece", "ids"])
+            at += len(row)
 
-    return of
+    return run
 
 
 def filesystem(uri: str):
@@ -86,89 +94,81 @@ def materialise(df: DataFrame, key_col: str, text_col: str, path: str, out: str,
     whole, next to a JSON file with its rows and checksum: a task that is run again replaces its shard, and a job that is run
     again into the same folder leaves shards alone that are there with the checksum they should have.
 
+    Texts are encoded once, into a table of sequences without padding; counts, slots and shards are taken from it. The driver
+    gets the count of sequences only. A task of the last step owns a range of slots, which is one shard or a run of them.
+
     Rows: key, piece, slot, shard, record, n_tokens, ids_crc32 (of the ids as unsigned 4 bytes, without padding). Null and empty
     texts give the end id alone; null and repeated keys are kept; an empty table gives no rows and no shards.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    made = _sequences(path, stride, end_id)
     unit = "<u4" if wide else "<u2"
-    size = 4 + stride * np.dtype(unit).itemsize
+    kind = rows.schema["key"].dataType.simpleString()
+    made = Scratch(df.sparkSession).save(rows.mapInArrow(_sequences(path, stride, end_id, unit), f"part int, at long, key {kind}, piece int, ids binary"), "sequences")
+    counts = made.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    @F.pandas_udf("long")
+    def slot_of(index: pd.Series) -> pd.Series:
+        return pd.Series(permute(index.to_numpy(), total, key))
 
-        n = 0
-        for batch in blocks(batches, "text"):
-            _, ends = encode_column(batch.column("text"), path)
-            n += int((-(-(np.diff(ends) + 1) // stride)).sum())
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n]})
-
-    counts = {r["part"]: r["n"] for r in rows.mapInArrow(counted, "part long, n long").collect()}  # one row for each task
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part], total = total, total + counts[part]
-    sent = spark.sparkContext.broadcast(first)
-    kind = rows.schema["key"].dataType.simpleString()
+    n_shards = max(1, -(-total // per_shard))
+    run = -(-n_shards // MOST_TASKS)
+    slots = made.join(F.broadcast(before), "part").select("key", "piece", "ids", slot_of(F.col("at") + F.col("before")).alias("slot"))
+    slots = slots.withColumn("shard", F.expr(f"slot div {per_shard}L"))
+    ranged = slots.repartitionById(-(-n_shards // run), F.expr(f"int(shard div {run}L)")).sortWithinPartitions("slot")
+    ranged = ranged.select("key", "piece", "ids", "slot", "shard")
+    return ranged.mapInArrow(_written(out, stride, per_shard, unit), f"key {kind}, piece int, slot long, shard long, record long, n_tokens long, ids_crc32 long")
 
-    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        at = sent.value[part]
-        for batch in blocks(batches, "text", 2 << 20):
-            row, piece, used, ids = made(batch)
-            if ids.size and ids.max() > np.iinfo(unit).max:
-                raise ValueError("an id needs wide records")
-            slot = permute(np.arange(at, at + len(row)), total, key)
-            at += len(row)
-            data = np.concatenate([used.astype("<u4").view(np.uint8).reshape(-1, 4), ids.astype(unit).view(np.uint8).reshape(len(row), -1)], axis=1)
-            column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(row), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), batch.column("key").take(pa.array(row)), pa.array(piece.astype(np.int32)), column], ["shard", "slot", "key", "piece", "record"])
-        if at - sent.value[part] != counts[part]:
-            raise RuntimeError("the input gave other rows on the second reading")
+def _written(out: str, stride: int, per_shard: int, unit: str):
+    """Sequences in order of slots to shards, each written, read back and told row by row."""
+    size = 4 + stride * np.dtype(unit).itemsize
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close(files, folder: str, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        shard, slots = rows.column("shard")[0].as_py(), rows.column("slot").to_numpy()
+        if (slots != np.arange(shard * per_shard, shard * per_shard + len(slots))).any():
+            raise RuntimeError(f"shard {shard} lacks a slot")
+        whole = np.frombuffer(b"".join(rows.column("ids").to_pylist()), unit)
+        used = pc.binary_length(rows.column("ids")).to_numpy().astype(np.int64) // whole.itemsize
+        data = np.zeros((len(slots), size), np.uint8)
+        data[:, :4] = used.astype("<u4").view(np.uint8).reshape(-1, 4)
+        ids = np.zeros((len(slots), stride), unit)
+        ids[np.arange(stride) < used[:, None]] = whole
+        data[:, 4:] = ids.view(np.uint8)
+        data = data.tobytes()
+        name, note = f"{folder}/{shard:08d}.bin", {"shard": shard, "first_slot": int(slots[0]), "rows": len(slots), "record_bytes": size, "stride": stride, "unit": unit, "crc32": zlib.crc32(data)}
+        if not _there(files, name, note):
+            files.create_dir(folder, recursive=True)
+            for path_, what in ((name, data), (f"{name}.json", json.dumps(note).encode())):
+                with files.open_output_stream(tmp := f"{path_}.{_attempt()}.tmp") as f:
+                    f.write(what)
+                files.move(tmp, path_)
+        with files.open_input_stream(name) as f:
+            back = np.frombuffer(f.read(), np.uint8).reshape(len(slots), size)
+        used = np.ascontiguousarray(back[:, :4]).view("<u4").ravel()
+        ids = np.ascontiguousarray(back[:, 4:]).view(unit).astype("<u4")
+        crc = np.fromiter((zlib.crc32(x[:k]) for x, k in zip(ids, used.tolist(), strict=True)), np.int64, len(used))
+        key, piece = rows.column("key").combine_chunks(), rows.column("piece").combine_chunks()
+        return pa.RecordBatch.from_arrays([key, piece, pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array(slots - slots[0]), pa.array(used.astype(np.int64)), pa.array(crc)], ["key", "piece", "slot", "shard", "record", "n_tokens", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = filesystem(out)
         held: list[pa.RecordBatch] = []
-
-        def close() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(held)
-            shard, slots = rows.column("shard")[0].as_py(), rows.column("slot").to_numpy()
-            if (slots != np.arange(shard * per_shard, shard * per_shard + len(slots))).any():
-                raise RuntimeError(f"shard {shard} lacks a slot")
-            data = b"".join(rows.column("record").to_pylist())
-            name, note = f"{folder}/{shard:08d}.bin", {"shard": shard, "first_slot": int(slots[0]), "rows": len(slots), "record_bytes": size, "stride": stride, "unit": unit, "crc32": zlib.crc32(data)}
-            if not _there(files, name, note):
-                files.create_dir(folder, recursive=True)
-                for path_, what in ((name, data), (f"{name}.json", json.dumps(note).encode())):
-                    with files.open_output_stream(tmp := f"{path_}.{_attempt()}.tmp") as f:
-                        f.write(what)
-                    files.move(tmp, path_)
-            with files.open_input_stream(name) as f:
-                back = np.frombuffer(f.read(), np.uint8).reshape(len(slots), size)
-            used = np.ascontiguousarray(back[:, :4]).view("<u4").ravel()
-            ids = np.ascontiguousarray(back[:, 4:]).view(unit).astype("<u4")
-            crc = np.fromiter((zlib.crc32(x[:k].tobytes()) for x, k in zip(ids, used.tolist(), strict=True)), np.int64, len(used))
-            key_, piece = rows.column("key").combine_chunks(), rows.column("piece").combine_chunks()
-            return pa.RecordBatch.from_arrays([key_, piece, pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array(slots - slots[0]), pa.array(used.astype(np.int64)), pa.array(crc)], ["key", "piece", "slot", "shard", "record", "n_tokens", "ids_crc32"])
-
         for batch in batches:
             while batch.num_rows:
                 shards = batch.column("shard").to_numpy()
                 if held and held[0].column("shard")[0].as_py() != shards[0]:
-                    yield close()
+                    yield close(files, folder, held)
                     held.clear()
                 same = int(np.searchsorted(shards, shards[0], "right"))
                 held.append(batch.slice(0, same))
                 batch = batch.slice(same)
         if held:
-            yield close()
+            yield close(files, folder, held)
 
-    n_shards = max(1, -(-total // per_shard))
-    slots = rows.mapInArrow(slotted, f"shard long, slot long, key {kind}, piece int, record binary")
-    ranged = slots.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "slot")
-    return ranged.mapInArrow(written, f"key {kind}, piece int, slot long, shard long, record long, n_tokens long, ids_crc32 long")
+    return run
 
 
 def _attempt() -> str:
