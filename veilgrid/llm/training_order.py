@@ -7,9 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,8 @@ from .common import Scratch, blocks
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Tasks that write shards, at most; with more shards, each writes a run of them.
 MOST_TASKS = 20_000
+#: Bytes of text that are encoded together: words that several of its texts have are looked up once.
+BLOCK = 24 << 20
 
 
 def _round(half: np.ndarray, key: int, number: int) -> np.ndarray:
@@ -50,14 +50,26 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(path: str, stride: int, end_id: int, unit: str):
-    """Texts to rows of their sequences: the task's number and the place in it, key, piece, and the ids without padding."""
+def _zip(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values).tobytes())
+
+
+def _unzip(data: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
+def _encoded(path: str, end_id: int, stride: int, unit: str):
+    """Texts to blocks: the task's number, the sequences before the block in the task and in it, keys, counts of tokens, and all ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, at = TaskContext.get().partitionId(), 0
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK):
             ids, ends = encode_column(batch.column("text"), path)
             if max(int(ids.max(initial=0)), end_id) > np.iinfo(unit).max:
                 raise ValueError("an id needs wide records")
@@ -66,14 +78,39 @@ def _sequences(path: str, stride: int, end_id: int, unit: str):
             own = np.ones(len(whole), bool)
             own[ends[1:] + np.arange(len(n))] = False
             whole[own] = ids
-            count = -(-n // stride)
-            row = np.repeat(np.arange(len(n)), count)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            start = (ends[:-1] + np.arange(len(n)))[row] + piece * stride  # where one ends the next begins
-            cuts = (np.append(start, len(whole)) * whole.itemsize).astype(np.int32)
-            column = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(whole)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), part, np.int32)), pa.array(np.arange(at, at + len(row))), batch.column("key").take(pa.array(row)), pa.array(piece.astype(np.int32)), column], ["part", "at", "key", "piece", "ids"])
-            at += len(row)
+            held = int((-(-n // stride)).sum())
+            keys = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), batch.column("key"))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at]), pa.array([held]), keys, pa.array([_zip(n.astype("<i8"))]), pa.array([_zip(whole)])], ["part", "at", "n", "keys", "sizes", "ids"])
+            at += held
+
+    return run
+
+
+def _dealt(stride: int, per_shard: int, total: int, key: int, unit: str):
+    """Blocks to a row for each shard that they have sequences of: the slots, rising, with keys, pieces, counts of tokens and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, keys, sizes, ids in zip(batch.column("first").to_pylist(), batch.column("keys"), batch.column("sizes"), batch.column("ids"), strict=True):
+                n, whole = _unzip(sizes.as_py(), "<i8"), _unzip(ids.as_py(), unit)
+                count = -(-n // stride)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                used = np.minimum(n[row] - piece * stride, stride)
+                slot = permute(np.arange(first, first + len(row)), total, key)
+                order = np.argsort(slot, kind="stable")
+                cuts = np.concatenate([[0], np.cumsum(used * whole.itemsize)]).astype(np.int32)  # where one sequence ends the next begins
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(whole)]).take(pa.array(order))
+                row, piece, used, slot = row[order], piece[order], used[order], slot[order]
+                shard = slot // per_shard
+                ends = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(slot)]])
+                at = np.frombuffer(data.buffers()[1], np.int32)[ends] // whole.itemsize
+                flat = np.frombuffer(data.buffers()[2], unit)
+                listed = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard[ends[:-1]]), listed(pa.array(slot)), listed(keys.values.take(pa.array(row))), listed(pa.array(piece.astype(np.int32))), listed(pa.array(used.astype(np.int32))), pa.array([_zip(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
+                    ["shard", "slots", "keys", "pieces", "used", "ids"],
+                )
 
     return run
 
@@ -94,8 +131,9 @@ def materialise(df: DataFrame, key_col: str, text_col: str, path: str, out: str,
     whole, next to a JSON file with its rows and checksum: a task that is run again replaces its shard, and a job that is run
     again into the same folder leaves shards alone that are there with the checksum they should have.
 
-    Texts are encoded once, into a table of sequences without padding; counts, slots and shards are taken from it. The driver
-    gets the count of sequences only. A task of the last step owns a range of slots, which is one shard or a run of them.
+    Texts are encoded once, into a table of packed blocks of ids; counts, slots and shards are taken from it. The driver gets the
+    count of sequences only. A block sends one packed row to each shard; a task of the last step owns a range of slots, which is
+    one shard or a run of them, and holds one at a time (per_shard * stride ids).
 
     Rows: key, piece, slot, shard, record, n_tokens, ids_crc32 (of the ids as unsigned 4 bytes, without padding). Null and empty
     texts give the end id alone; null and repeated keys are kept; an empty table gives no rows and no shards.
@@ -103,40 +141,36 @@ def materialise(df: DataFrame, key_col: str, text_col: str, path: str, out: str,
     rows = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     unit = "<u4" if wide else "<u2"
     kind = rows.schema["key"].dataType.simpleString()
-    made = Scratch(df.sparkSession).save(rows.mapInArrow(_sequences(path, stride, end_id, unit), f"part int, at long, key {kind}, piece int, ids binary"), "sequences")
-    counts = made.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    made = Scratch(df.sparkSession).save(rows.mapInArrow(_encoded(path, end_id, stride, unit), f"part int, at long, n long, keys array<{kind}>, sizes binary, ids binary"), "blocks")
+    counts = made.groupBy("part").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each task
-
-    @F.pandas_udf("long")
-    def slot_of(index: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), total, key))
-
     n_shards = max(1, -(-total // per_shard))
     run = -(-n_shards // MOST_TASKS)
-    slots = made.join(F.broadcast(before), "part").select("key", "piece", "ids", slot_of(F.col("at") + F.col("before")).alias("slot"))
-    slots = slots.withColumn("shard", F.expr(f"slot div {per_shard}L"))
-    ranged = slots.repartitionById(-(-n_shards // run), F.expr(f"int(shard div {run}L)")).sortWithinPartitions("slot")
-    ranged = ranged.select("key", "piece", "ids", "slot", "shard")
-    return ranged.mapInArrow(_written(out, stride, per_shard, unit), f"key {kind}, piece int, slot long, shard long, record long, n_tokens long, ids_crc32 long")
+    first = made.join(F.broadcast(before), "part").select((F.col("at") + F.col("before")).alias("first"), "keys", "sizes", "ids")
+    dealt = first.mapInArrow(_dealt(stride, per_shard, total, key, unit), f"shard long, slots array<long>, keys array<{kind}>, pieces array<int>, used array<int>, ids binary")
+    ranged = dealt.repartitionById(-(-n_shards // run), F.expr(f"int(shard div {run}L)")).sortWithinPartitions("shard")
+    return ranged.mapInArrow(_written(out, stride, per_shard, total, unit), f"key {kind}, piece int, slot long, shard long, record long, n_tokens long, ids_crc32 long")
 
 
-def _written(out: str, stride: int, per_shard: int, unit: str):
-    """Sequences in order of slots to shards, each written, read back and told row by row."""
+def _written(out: str, stride: int, per_shard: int, total: int, unit: str):
+    """Rows sorted by shard to shards, each written, read back and told sequence by sequence."""
     size = 4 + stride * np.dtype(unit).itemsize
 
     def close(files, folder: str, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
-        shard, slots = rows.column("shard")[0].as_py(), rows.column("slot").to_numpy()
-        if (slots != np.arange(shard * per_shard, shard * per_shard + len(slots))).any():
+        shard = rows.column("shard")[0].as_py()
+        slot, key, piece, n = (rows.column(c).combine_chunks().flatten() for c in ("slots", "keys", "pieces", "used"))
+        order = np.argsort(slot.to_numpy(), kind="stable")
+        slots, n = slot.to_numpy()[order], n.to_numpy()
+        first = shard * per_shard
+        if not np.array_equal(slots, np.arange(first, min(first + per_shard, total))):
             raise RuntimeError(f"shard {shard} lacks a slot")
-        whole = np.frombuffer(b"".join(rows.column("ids").to_pylist()), unit)
-        used = pc.binary_length(rows.column("ids")).to_numpy().astype(np.int64) // whole.itemsize
+        made = np.zeros((len(slots), stride), unit)
+        made[np.arange(stride) < n[:, None]] = np.concatenate([_unzip(x.as_py(), unit) for x in rows.column("ids")])
         data = np.zeros((len(slots), size), np.uint8)
-        data[:, :4] = used.astype("<u4").view(np.uint8).reshape(-1, 4)
-        ids = np.zeros((len(slots), stride), unit)
-        ids[np.arange(stride) < used[:, None]] = whole
-        data[:, 4:] = ids.view(np.uint8)
+        data[:, :4] = n[order].astype("<u4").view(np.uint8).reshape(-1, 4)
+        data[:, 4:] = made[order].view(np.uint8)
         data = data.tobytes()
         name, note = f"{folder}/{shard:08d}.bin", {"shard": shard, "first_slot": int(slots[0]), "rows": len(slots), "record_bytes": size, "stride": stride, "unit": unit, "crc32": zlib.crc32(data)}
         if not _there(files, name, note):
@@ -150,8 +184,7 @@ def _written(out: str, stride: int, per_shard: int, unit: str):
         used = np.ascontiguousarray(back[:, :4]).view("<u4").ravel()
         ids = np.ascontiguousarray(back[:, 4:]).view(unit).astype("<u4")
         crc = np.fromiter((zlib.crc32(x[:k]) for x, k in zip(ids, used.tolist(), strict=True)), np.int64, len(used))
-        key, piece = rows.column("key").combine_chunks(), rows.column("piece").combine_chunks()
-        return pa.RecordBatch.from_arrays([key, piece, pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array(slots - slots[0]), pa.array(used.astype(np.int64)), pa.array(crc)], ["key", "piece", "slot", "shard", "record", "n_tokens", "ids_crc32"])
+        return pa.RecordBatch.from_arrays([key.take(pa.array(order)), piece.take(pa.array(order)), pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array(slots - slots[0]), pa.array(used.astype(np.int64)), pa.array(crc)], ["key", "piece", "slot", "shard", "record", "n_tokens", "ids_crc32"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = filesystem(out)
