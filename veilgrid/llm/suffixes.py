@@ -18,8 +18,8 @@ from .jaccard import window_hashes, word_hashes
 SEED_WORDS = 12
 #: Bits of the filter of repeated seeds: 16 for each, within these bounds (64 MB at most).
 FILTER_BITS = 1 << 20, 1 << 29
-#: Suffixes with one seed that a task takes together; a seed with more is dealt out by its documents, and its windows by their hashes.
-RUN = 20_000
+#: Suffixes with one seed that a task takes together, about; a seed with more is dealt out by their places, and its windows by their hashes.
+RUN = 2_000
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -188,7 +188,7 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, words: int = 50
        through costs time only.
     3. The others are sorted by seed and place, and those with one seed are compared in windows, which tells how far each match extends
        left and right: a window can only be repeated among suffixes with its minimiser.
-    4. A seed with over RUN suffixes is dealt out by documents first; the windows that are first in a part then meet by their own hashes,
+    4. A seed with over RUN suffixes is dealt out by their places first, so a text that repeats it ever again is dealt out too; the windows that are first in a part then meet by their own hashes,
        one row a part. So no passage, however common, is a single task's work.
 
     Null, empty and shorter texts have no passages. Rows alike in id and text are one document. Texts, windows and seeds are told apart
@@ -205,7 +205,7 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, words: int = 50
     ddl = f"seed long, id {kind.simpleString()}, th long, first int, windows array<long>"
     made = rows.select("id", "th", "text").mapInArrow(_kept(words, seed, sent), ddl)
     hot = counts.where(F.col("n") > RUN).select("seed", F.ceil(F.col("n") / RUN).cast("int").alias("parts"))
-    salt = F.when(F.col("parts").isNull(), -1).otherwise((hash62("id", "th") % F.col("parts")).cast("int"))
+    salt = F.when(F.col("parts").isNull(), -1).otherwise((hash62("id", "th", "first") % F.col("parts")).cast("int"))
     # each hot seed has RUN suffixes or more, so there are at most 1 / RUN as many hot seeds as suffixes
     salted = made.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "seed", "left").withColumn("salt", salt).drop("parts")
     ordered = salted.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "id", "th", "first")
