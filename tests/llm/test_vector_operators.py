@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veilgrid.llm import ann, embed_dedup, vectors
 from veilgrid.llm.vectors import Graph, kmeans, squared, unit
@@ -155,6 +156,14 @@ def test_vectors_of_mixed_dimensions(spark):
     assert all(len(x[q]) == len(x[v]) and abs(s - cos(x[q], x[v])) < 1e-12 for q, v, s in zip(found.query_id, found.vec_id, found.score, strict=True))
 
 
+def test_rows_of_one_id_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (5, [0.0, 1.0], 1), (3, [0.0, 3.0], 1), (9, None, 1), (9, [1.0, 1.0], 1), (None, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit("a")).withColumn("row", F.lit("b")).repartition(2)
+    got = embed_dedup.near_duplicates(frame, "vec_id", "embedding", "label", 0.93).collect()
+    want = [(5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (5, 1, 3, False), (3, 1, 3, True), (9, 0, 9, True), (9, 0, 9, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_no_vectors(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], SCHEMA), "vec_id", "embedding", "label", 0.93).count() == 0
     one = embed_dedup.near_duplicates(spark.createDataFrame([(4, None, None)], SCHEMA), "vec_id", "embedding", "label", 0.93).collect()

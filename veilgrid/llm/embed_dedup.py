@@ -202,17 +202,24 @@ def near_duplicates(df: DataFrame, id_col: str, vec_col: str, label_col: str, le
     in this order are a block, so an entry moves once for a block, not for a list, and a crowded list is several blocks.
 
     Rows without id, label or direction (see usable) link with nothing. Only vectors of equal dimension link: each dimension
-    that two rows or more have is a search of its own. An id that repeats must not: its rows would share one count. An
-    empty table gives no rows.
+    that two rows or more have is a search of its own. Ids are whole numbers. Where one repeats, each of its rows is a vector
+    of its own, equal rows too; kept then holds for all rows with the smallest id of their component. An empty table gives no rows.
     """
     spark = df.sparkSession
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    if ids.where("id IS NOT NULL").groupBy("id").count().where("count > 1").limit(1).count():
+        own = df.select(F.col(id_col).cast("long").alias("id"), F.when(F.col(id_col).isNotNull(), F.col(vec_col)).alias("vec"), F.col(label_col).alias("label"))
+        own = Scratch(spark).save(own.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        found = near_duplicates(own.select("row", "vec", "label"), "row", "vec", "label", least).select(F.col("id").alias("row"), "n_links", F.col("component_id").alias("component"))
+        found = own.select("id", "row").join(found, "row")
+        smallest = found.groupBy("component").agg(F.min("id").alias("component_id"))
+        return found.join(smallest, "component").select("id", "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     rows = Scratch(spark).save(usable(df, id_col, vec_col, label_col).where(F.col("label").isNotNull()), "rows")
-    all_ids = df.select(F.col(id_col).cast("long").alias("id"))
     found = [_found(rows.where(F.size("vec") == d), least) for d in dimensions(rows, 2)]
     if not found:
-        return all_ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     told = reduce(DataFrame.union, found)
-    out = all_ids.join(told, all_ids.id == told["__id"], "left")
+    out = ids.join(told, ids.id == told["__id"], "left")
     component = F.coalesce("component_id", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
