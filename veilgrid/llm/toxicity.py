@@ -129,8 +129,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, least_df: int = 3, passes:
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = MAX_ROWS, seed: int = 5) -> Model:
     """Fits the model to labelled rows, of which a seeded hash of the id picks about `max_rows` at most.
 
-    Several labels of one id count as the largest; null ids and labels teach nothing; null texts are empty. Features are
-    made where the rows are; one task learns from them in a fixed order, and what it holds is bounded by max_rows.
+    Several labels of one id count as the largest, and of its texts, if they differ, the one whose features sort first teaches; null
+    ids and labels teach nothing; null texts are empty. Features are made where the rows are; one task learns from them in a fixed order, and what it holds is bounded by max_rows.
     """
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
     n = told.count()
@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         model = ftrl(rows, np.array(ys, np.float64))
         yield pa.RecordBatch.from_pydict({"keys": [model.keys.tobytes()], "weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    one = joined.mapInArrow(made, "k long, y int, data binary").repartition(1).sortWithinPartitions("k", "data")
+    each = joined.mapInArrow(made, "k long, y int, data binary").groupBy("k").agg(F.min(F.struct("data", "y")).alias("r")).select("k", "r.y", "r.data")
+    one = each.repartition(1).sortWithinPartitions("k")
     got = one.mapInArrow(learn, "keys binary, weights binary, bias double").collect()
     if not got:
         return ftrl([], np.zeros(0))
