@@ -27,6 +27,8 @@ _PLAIN = re.compile("[\\x21-\\x7eÀ-įı-ɏ]+")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Chunks whose ids one Python worker keeps: the first it meets, among them the frequent ones.
 CACHE = 100_000
+#: The fewest and the most buckets of words.
+MOST_BUCKETS = 256, 1 << 15
 
 
 def default_tokenizer() -> str:
@@ -243,7 +245,15 @@ def _ids_by_position(path: str, each: Callable, schema: pa.Schema) -> Callable[[
     return run
 
 
-def encode_distinct(df: DataFrame, key_col: str, text_col: str, path: str, each: Callable, schema: pa.Schema, ddl: str, buckets: int = 256, block_bytes: int = 16 << 20) -> DataFrame:
+def _buckets(rows: DataFrame, block_bytes: int) -> int:
+    """Buckets of words for so many bytes of input, as the optimiser knows them: they grow as the root of the blocks, since each block
+    sends a row to each bucket, and distinct words grow more slowly than words."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    unknown = size >= 1 << 60
+    return MOST_BUCKETS[0] if unknown else min(MOST_BUCKETS[1], max(MOST_BUCKETS[0], 8 * int((size / block_bytes) ** 0.5)))
+
+
+def encode_distinct(df: DataFrame, key_col: str, text_col: str, path: str, each: Callable, schema: pa.Schema, ddl: str, buckets: int | None = None, block_bytes: int = 16 << 20) -> DataFrame:
     """Encodes texts through a table of distinct words, and gives each block's keys, ids and bounds to `each`.
 
     1. Every task splits its texts into blocks of bounded bytes: the positions of words as numbers, and the block's
@@ -256,7 +266,7 @@ def encode_distinct(df: DataFrame, key_col: str, text_col: str, path: str, each:
     block of its own). An empty table gives no rows. Other columns are ignored.
     """
     rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    made = rows.mapInArrow(_split(path, buckets, block_bytes), _ROW)
+    made = rows.mapInArrow(_split(path, buckets or _buckets(rows, block_bytes), block_bytes), _ROW)
     dealt = made.repartition(F.when(F.col("kind") > 0, F.col("kind")).otherwise(F.xxhash64("at")))
     encoded = dealt.mapInArrow(_encode_words(path), _ROW)
     return encoded.groupBy("at").applyInArrow(_ids_by_position(path, each, schema), ddl)
