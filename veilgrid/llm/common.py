@@ -85,7 +85,7 @@ def hash62(*cols: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 2)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes in the column (a row that is longer stands alone)."""
     for batch in batches:
         _give_back()

@@ -81,14 +81,14 @@ def _frequent(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     prefixes, so it does no harm that a text may count twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        keys, counts, size = [], [], 0
+        room = np.empty(COUNTED, np.uint64)
+        keys, counts, held = [], [], 0
 
-        def fold() -> None:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            keys.append(token[n > 1])
-            counts.append(n[n > 1])
+        def fold(x: np.ndarray) -> None:
+            x.sort()
+            token, n = np.unique(x[1:][x[1:] == x[:-1]], return_counts=True)  # all but the first of equals
+            keys.append(token)
+            counts.append(n + 1)
 
         for b in blocks(batches, "text"):
             h, ends = word_hashes(b.column("text"))
@@ -97,17 +97,18 @@ def _frequent(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for i in range(1, k):  # runs that cross the end of a text are none
                 at = ends[1:-1] - i
                 whole[at[(at >= 0) & (at < len(runs))]] = False
-            held.append(runs[whole])
-            size += len(held[-1])
-            if size > COUNTED:
-                fold()
-                size = 0
-                keys, counts = ([x] for x in _summed(keys, counts))
-        if held:
-            fold()
-        if keys:
-            token, n = _summed(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+            runs = runs[whole]
+            while len(runs):
+                some = runs[: COUNTED - held]
+                room[held : held + len(some)] = some
+                held, runs = held + len(some), runs[len(some) :]
+                if held == COUNTED:
+                    fold(room)
+                    held = 0
+                    keys, counts = ([x] for x in _summed(keys, counts))
+        fold(room[:held])
+        token, n = _summed(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     return run
 

@@ -186,7 +186,7 @@ def pieces(df: DataFrame, key_col: str, text_col: str, path: str, capacity: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.array([end_id], "<u4").tobytes()
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 8 << 20):
             ids, ends = encode_column(batch.column("text"), path)
             ids = ids.astype("<u4")
             n = np.diff(ends) + 1

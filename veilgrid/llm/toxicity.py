@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     joined = rows.join(F.broadcast(picked), F.col("__own") == F.col("__id")).select("text", "__y", "__k")  # picked: max_rows short rows
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 4 << 20):
+        for b in blocks(batches, "text", 2 << 20):
             feature, row = _distinct(*features(b.column("text")))
             ends = np.searchsorted(row, np.arange(b.num_rows + 1))
             data = [feature[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
@@ -168,7 +168,7 @@ def score(df: DataFrame, text_col: str, model: Model, out_col: str = "score") ->
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, text_col, 4 << 20):
+        for b in blocks(batches, text_col, 2 << 20):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.score(b.column(text_col)))], names=[*b.schema.names, out_col])
 
     return df.mapInArrow(scored, T.StructType([*df.schema.fields, T.StructField(out_col, T.DoubleType())]))
