@@ -47,5 +47,6 @@ def test_all_kinds_of_a_table(spark):
     queries = registry.queries()
     kinds, candidates = brute(queries["rendered_lines"](spark, SF).collect())
     assert kinds
-    assert rows(queries["entities_all"](spark, SF), "entity", "n") == kinds + rows(queries["entities_regex"](spark, SF), "entity", "n")
+    got = rows(queries["entities_regex"](spark, SF), "entity", "n")
+    assert kinds == Counter({k: n for k, n in got.items() if k[3] in ("PHONE_NUMBER", "DE_ADDRESS")})
     assert rows(queries["phone_guard_candidates"](spark, SF), "candidate", "kept") == candidates

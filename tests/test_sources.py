@@ -112,8 +112,20 @@ def test_options_and_settings(tmp_path):
         AssembleOptions.from_query({"format": "gif"}, c)
     (tmp_path / "c.toml").write_text('[engine]\nname = "onnx"\n[redaction.regions]\nheader_frac = 0.2\n')
     got = load_config(str(tmp_path / "c.toml"), {})
-    assert got.engine.resolve() == ("onnxruntime", "presidio") and got.redaction.regions.header_frac == 0.2
-    for bad in ("[redaction.regions]\ngap_factor = 1\n", "[redaction]\nfill = [1]\n", "[engine]\nname = 'gliner'\n", "[redaction.regions]\nheader_frac = 0.9\n"):
+    assert got.models() == {"name": "onnx", "ocr": "onnxruntime", "classifier": "presidio"} and got.redaction.regions.header_frac == 0.2
+    assert Config({"engine": {"name": "onnx", "ocr_backend": "paddle"}}).models()["ocr"] == "paddle"
+    env = {"PII_CONFIG": str(tmp_path / "c.toml"), "PII_ENGINE": "native", "PII_UNWARP": "off", "PII_REDACT_REGIONS": "no", "PII_REDACT_CODES": "0"}
+    got = load_config(None, env)
+    assert got.engine.name == "native" and not (got.redaction.unwarp or got.redaction.redact_regions or got.redaction.redact_codes) and got.redaction.regions.header_frac == 0.2
+    with pytest.raises(ValueError, match="redaction.unwarp: Input should be a valid boolean"):
+        load_config(None, {"PII_UNWARP": "maybe"})
+    with pytest.raises(ValueError, match="redaction.padding: .*; api.port: Input should be less"):
+        Config({"redaction": {"padding": "x"}, "api": {"port": 70000}})
+    with pytest.raises(ValueError, match="pdf-dpi: .*; jpeg-quality: "):
+        RedactOptions.from_query({"pdf-dpi": "x", "jpeg-quality": 0}, c)
+    with pytest.raises(AttributeError):
+        c.engine.name = "onnx"
+    for bad in ("[redaction]\nunwarp = \"maybe\"\n", "[extra]\nx = 1\n", "[api]\nport = \"x\"\n", "[redaction.regions]\ngap_factor = 1\n", "[redaction]\nfill = [1]\n", "[engine]\nname = 'gliner'\n", "[redaction.regions]\nheader_frac = 0.9\n"):
         (tmp_path / "c.toml").write_text(bad)
         with pytest.raises(ValueError):
             load_config(str(tmp_path / "c.toml"), {})

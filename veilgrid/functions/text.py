@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -33,6 +34,11 @@ def static_rule_name(text: Column) -> Column:
     return F.coalesce(*(F.when(matches(text, p), F.lit(name)) for name, p in P.STATIC_RULES))
 
 
+def only(value: Column) -> Column:
+    """Rows where a value isn't null, with the value: a filter that evaluates it once, not again in what is selected."""
+    return F.explode(F.filter(F.array(value), lambda x: x.isNotNull()))
+
+
 def has_static_rule(text: Column) -> Column:
     return reduce(lambda a, b: a | b, (matches(text, p) for _, p in P.STATIC_RULES))
 
@@ -116,19 +122,23 @@ def phone_candidates(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(java(P.PHONE)), F.lit(0))
 
 
-def entities(text: Column) -> Column:
-    """What the deterministic recognisers find on a line: an array of (entity, matched, score)."""
+def entities(text: Column, kinds: Sequence[str] = tuple(P.PII_ENTITIES), least: float = 0.0) -> Column:
+    """What the deterministic recognisers of some kinds find on a line with a score of at least `least`: an array of (entity, matched, score)."""
 
-    def one(entity: str, pattern: str, keep=None, score: float | None = None) -> Column:
+    def one(entity: str, pattern: str, keep=None, score: float | None = None, context: str | None = None) -> Column | None:
+        if entity not in kinds or (P.SCORES[entity] if score is None else score) < least:  # not looked for at all
+            return None
         all_ = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
         kept = F.filter(all_, keep) if keep else all_
-        return F.transform(kept, lambda m: F.struct(F.lit(entity).alias("entity"), m.alias("matched"), F.lit(P.SCORES[entity] if score is None else score).alias("score")))
+        rows = F.transform(kept, lambda m: F.struct(F.lit(entity).alias("entity"), m.alias("matched"), F.lit(P.SCORES[entity] if score is None else score).alias("score")))
+        return F.when(matches(text, context), rows).otherwise(F.array()) if context else rows
 
-    return F.concat(
+    found_ = [
         one("IBAN_CODE", P.IBAN, iban_valid), one("EMAIL_ADDRESS", P.EMAIL), one("CREDIT_CARD", P.CARD, luhn_valid), one("PHONE_NUMBER", P.PHONE, may_be_phone),
-        F.when(matches(text, P.BIC_CONTEXT), one("BIC_CODE", P.BIC)).otherwise(F.array()), one("KONTO", P.KONTO),
-        one("DE_ADDRESS", P.ADDRESS_STREET), one("DE_ADDRESS", P.DE_PLZ_CITY, score=0.6),
-    )
+        one("BIC_CODE", P.BIC, context=P.BIC_CONTEXT), one("KONTO", P.KONTO), one("DE_ADDRESS", P.ADDRESS_STREET), one("DE_ADDRESS", P.DE_PLZ_CITY, score=0.6),
+    ]
+    found_ = [x for x in found_ if x is not None]
+    return F.concat(*found_) if found_ else F.array().cast("array<struct<entity:string,matched:string,score:double>>")
 
 
 def person_tokens(tokens: Column, start: Column, end: Column) -> Column:

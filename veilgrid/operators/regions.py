@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,46 +45,92 @@ def adjacent_pairs(lines: DataFrame, p: RegionParams = RegionParams()) -> DataFr
     return pairs.select(F.col("x.doc_id").alias("doc_id"), F.col("x.page").alias("page"), F.col("x.line_no").alias("a"), F.col("y.line_no").alias("b"))
 
 
-def _labelled(p: RegionParams):
-    """A page's lines to (…, block): the smallest line number of the connected component; one page at a time, in arrays."""
-
-    def run(page: pa.Table) -> pa.Table:
-        left, top, height, no = (page.column(c).to_numpy().astype(np.float64) for c in ("left", "top", "height", "line_no"))
-        order = np.argsort(left, kind="stable")
-        parent = np.arange(len(no))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        ls, widest = left[order], p.align_factor * height.max()
-        for k, i in enumerate(order):
-            stop = int(np.searchsorted(ls, ls[k] + widest, "right"))
-            others = order[k + 1 : stop]
-            h = np.minimum(height[i], height[others])
-            gap = np.maximum(top[i], top[others]) - np.minimum(top[i] + height[i], top[others] + height[others])
-            for j in others[(left[others] - left[i] <= p.align_factor * h) & (gap <= p.vgap_factor * h)]:
-                a, b = find(i), find(int(j))
-                if a != b:
-                    a, b = (a, b) if no[a] < no[b] else (b, a)
-                    parent[b] = a
-        block = no[[find(i) for i in range(len(no))]].astype(np.int32)
-        return page.append_column("block", pa.array(block))
+def _labels(page: np.ndarray, left: np.ndarray, top: np.ndarray, height: np.ndarray, no: np.ndarray, p: RegionParams) -> np.ndarray:
+    """For lines of many pages, the smallest line number of each line's connected component, all pages at once.
+
+    By page and left edge, a line's partners follow it within the alignment that the page's tallest line allows. So lines are held
+    against the next one, the one after it, and so on, as long as any is that near. Edges join trees until none has two roots."""
+    order = np.lexsort((no, left, page))
+    page, left, top, height, no = (x[order] for x in (page, left, top, height, no))
+    starts = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]])) if len(page) else np.zeros(0, np.int64)
+    widest = np.repeat(np.maximum.reduceat(height, starts), np.diff(np.append(starts, len(page)))) * p.align_factor if len(page) else height
+    root, near, step, edges = np.arange(len(no)), np.arange(len(no)), 0, []
+    while len(near):
+        step += 1
+        near = near[near + step < len(no)]
+        near = near[(page[near + step] == page[near]) & (left[near + step] - left[near] <= widest[near])]
+        i, j = near, near + step
+        h = np.minimum(height[i], height[j])
+        gap = np.maximum(top[i], top[j]) - np.minimum(top[i] + height[i], top[j] + height[j])
+        hit = (left[j] - left[i] <= p.align_factor * h) & (gap <= p.vgap_factor * h)
+        edges.append((i[hit], j[hit]))
+    if edges:
+        a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+        while True:
+            high, low = np.maximum(root[a], root[b]), np.minimum(root[a], root[b])
+            if not (open_ := high != low).any():
+                break
+            np.minimum.at(root, high[open_], low[open_])
+            while (root[root] != root).any():
+                root = root[root]
+    least = no.copy()
+    np.minimum.at(least, root, no)
+    out = np.empty(len(no), np.int64)
+    out[order] = least[root]
+    return out
+
+
+_LISTED = ["line_no", "left", "top", "width", "height", "marks"]
+
+
+def _blocked(p: RegionParams, marked_only: bool):
+    """Pages with arrays of their lines to (doc_id, page, bs): every line's block, or the extent and marks of each block that has any."""
+    fields = ["line_no", "block"] if marked_only is False else ["block", "x0", "y0", "x1", "y1", "marks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("ls")
+            page = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            no, left, top, width, height, marks = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _LISTED)
+            block = _labels(page, left, top, height, no, p)
+            if marked_only:
+                order = np.lexsort((block, page))
+                page, block = page[order], block[order]
+                begin = np.flatnonzero(np.concatenate([[True], (page[1:] != page[:-1]) | (block[1:] != block[:-1])])) if len(page) else np.zeros(0, np.int64)
+                fold = lambda f, x: f.reduceat(x[order], begin) if len(begin) else x[:0]  # noqa: B023, E731
+                columns = [block[begin], fold(np.minimum, left), fold(np.minimum, top), fold(np.maximum, left + width), fold(np.maximum, top + height), fold(np.bitwise_or, marks)]
+                some = columns[-1] != 0
+                page, columns = page[begin][some], [c[some] for c in columns]
+            else:
+                columns = [no, block]
+            ends = np.searchsorted(page, np.arange(b.num_rows + 1))
+            rows = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], fields)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("page"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], ["doc_id", "page", "bs"])
 
     return run
 
 
+def _page_lists(lines: DataFrame, marks: Column) -> DataFrame:
+    some = lines.where(not_blank(F.col("text"))).select(*PAGE, F.struct(*_LISTED[:-1], marks.alias("marks")).alias("x"))
+    return some.groupBy(*PAGE).agg(F.collect_list("x").alias("ls"), F.bit_or("x.marks").alias("any"))
+
+
 def blocks(lines: DataFrame, p: RegionParams = RegionParams()) -> DataFrame:
-    """(line, left, top, width, height, text, block) of all lines that aren't blank: connected components of adjacency, computed once
-    for all four regions. A component has no order, so its smallest line number names it."""
-    some = lines.where(not_blank(F.col("text"))).select(*LINE, "left", "top", "width", "height", "text")
-    kinds = "doc_id long, page int, line_no int, left int, top int, width int, height int, text string"
-    return some.groupBy(*PAGE).applyInArrow(_labelled(p), f"{kinds}, block int")
+    """(line, block) of all lines that aren't blank: connected components of adjacency. A component has no order, so its smallest line number
+    names it. Pages are rows here, with their lines in arrays, and Python sees thousands of pages at a time."""
+    pages = _page_lists(lines, F.lit(0)).select(*PAGE, "ls").mapInArrow(_blocked(p, False), "doc_id long, page int, bs array<struct<line_no:int,block:int>>")
+    return pages.select(*PAGE, F.inline("bs"))
+
+
+#: Bits of the regions that a line seeds.
+_KINDS = ["header", "footer", "sender", "recipient"]
 
 
 def block_regions(lines: DataFrame, width: int, height: int, p: RegionParams = RegionParams()) -> DataFrame:
-    """One row for each block that a region claims: its extent, and which regions seed it."""
+    """One row for each block that a region claims: its extent, and which regions seed it.
+
+    Windows are tested before patterns, patterns in the JVM, and only pages with an anchor in a window are looked at as a whole."""
     text, w, h = F.col("text"), float(width), float(height)
     off = F.lit(False)
     header = F.col("top") < p.header_frac * h if p.header_frac * h > 0 else off
@@ -91,13 +138,12 @@ def block_regions(lines: DataFrame, width: int, height: int, p: RegionParams = R
     sender = (F.col("left") >= p.column_x_frac * w) & (F.col("top") <= p.column_y_frac * h) if p.column_x_frac < 1 and p.column_y_frac > 0 else off
     y_min, y_max = p.recipient_y_min_frac * h, p.recipient_y_max_frac * h
     recipient = (F.col("left") < p.column_x_frac * w) & F.col("top").between(y_min, y_max) if p.recipient_y_max_frac > p.recipient_y_min_frac else off
-    seen = blocks(lines, p).withColumn("from_sender", is_sender_anchor(text)).withColumn("to_recipient", is_recipient_anchor(text))
-    grouped = seen.groupBy(*PAGE, "block").agg(
-        F.min("left").alias("x0"), F.min("top").alias("y0"), F.max(F.col("left") + F.col("width")).alias("x1"), F.max(bottom()).alias("y1"),
-        F.bool_or(header & F.col("from_sender")).alias("header"), F.bool_or(footer & F.col("from_sender")).alias("footer"),
-        F.bool_or(sender & F.col("from_sender")).alias("sender"), F.bool_or(recipient & F.col("to_recipient")).alias("recipient"),
-    )
-    return grouped.where("header OR footer OR sender OR recipient")
+    bit = lambda c, n: F.when(c, F.lit(n)).otherwise(F.lit(0))
+    seeds = bit(header, 1) + bit(footer, 2) + bit(sender, 4)
+    marks = F.when((header | footer | sender) & is_sender_anchor(text), seeds).otherwise(F.lit(0)) + bit(recipient & is_recipient_anchor(text), 8)
+    pages = _page_lists(lines, marks).where("any <> 0").select(*PAGE, "ls")
+    claimed = pages.mapInArrow(_blocked(p, True), "doc_id long, page int, bs array<struct<block:int,x0:int,y0:int,x1:int,y1:int,marks:int>>")
+    return claimed.select(*PAGE, F.inline("bs")).select(*PAGE, "block", "x0", "y0", "x1", "y1", *((F.col("marks").bitwiseAND(1 << i) != 0).alias(k) for i, k in enumerate(_KINDS)))
 
 
 def region_boxes(lines: DataFrame, width: int, height: int, p: RegionParams = RegionParams()) -> DataFrame:
@@ -110,7 +156,7 @@ def region_boxes(lines: DataFrame, width: int, height: int, p: RegionParams = Re
     pad = p.padding
     cols = [*PAGE, "kind", "x0", "y0", "x1", "y1"]
     # one row for each block and region, so that the blocks are computed once
-    kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("header", "footer", "sender", "recipient"))), lambda k: k.isNotNull())
+    kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in _KINDS)), lambda k: k.isNotNull())
     rows = claimed.select(*PAGE, "block", "x0", "y0", "x1", "y1", F.explode(kinds).alias("kind"))
     band = F.col("kind").isin("header", "footer")
     boxes = rows.groupBy(*PAGE, "kind", F.when(band, F.lit(-1)).otherwise(F.col("block")).alias("block")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

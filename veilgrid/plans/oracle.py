@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .invoices import HEIGHT, WIDTH, duck_lines
 
-# A word's edges, which RE2 knows for ASCII only.
+# Fixed values, down to DETAIL: the patterns of functions/patterns.py as RE2 writes them. A word's edges, which RE2 knows for ASCII only, are spelled out.
 B = r"(?:^|[^\p{L}\p{N}_])"
 E = r"(?:$|[^\p{L}\p{N}_])"
 NP = r"[A-ZÄÖÜ][A-ZÄÖÜa-zäöüß]+(?:-[A-ZÄÖÜ][A-ZÄÖÜa-zäöüß]+)?"
@@ -15,6 +15,8 @@ CITY = r"(?:[A-ZÄÖÜ][a-zäöüß]{2,}|[A-ZÄÖÜ]{4,})"
 D = r"\d{1,2}\.\s?\d{1,2}\.\s?\d{2,4}"
 DATE = rf"{B}{D}{E}"
 HOST = r"[a-z0-9][a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:de|com|net|org|eu|at|ch)"
+PLZ_EDGE = r"(?:^|[^\p{L}\p{N}_/-]|(?:^|[^0-9])-)"
+HOST_EDGE = r"(?:$|[^\p{L}\p{N}_.-])"
 TEL = r"(?:[Tt][Ee][Ll](?:[Ee][Ff][Oo][Nn])?|[Tt][Ee][Ll][Ee][Ff][Aa][Xx]|[Ff][Aa][Xx]|[Mm][Oo][Bb][Ii][Ll])"
 RULES = [
     ("SALUT", rf"{B}(?:Herrn?|Frau|Fräulein|Frl|Familie|Fam|Eheleute){E}"),
@@ -58,6 +60,37 @@ ANY_RULE = f"({RULE}) IS NOT NULL"
 SENDER = f"({ANY_RULE} OR {m(ORG_MEDICAL)})"
 RECIPIENT = f"({m(RULES[4][1])} OR {m(RULES[5][1])})"
 NOT_BLANK = m(r"\S")
+
+
+def _core(pattern: str) -> list[str]:
+    """A pattern's alternatives, each with what lies between its edges in a group."""
+    flag = "(?i)" if pattern.startswith("(?i)") else ""
+    out = []
+    for part in pattern.removeprefix("(?i)").replace("|" + B, "\0" + B).replace(r"|[\w.\-+]+@", "\0" + r"[\w.\-+]+@").split("\0"):
+        lead = next((x for x in (B, PLZ_EDGE) if part.startswith(x)), "")
+        tail = next((x for x in (E, HOST_EDGE) if part.endswith(x)), "")
+        body = part[len(lead) : len(part) - len(tail)]
+        out.append(f"{lead}({flag}{body}){tail}")
+    return out
+
+
+def _matched(name: str, pattern: str) -> str:
+    """SQL: the text of a rule's first match, without the edges around it."""
+    parts = [c for p in [pattern, *(MORE_CONTACT if name == "CONTACT" else [])] for c in _core(p)]
+    whole = "|".join(f"(?:{p})" for p in parts)
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {_q(whole)}, {i + 1}), '')" for i in range(len(parts))) + ")"
+
+
+MATCHED = "CASE " + " ".join(f"WHEN {rule_test(n, p)} THEN {_matched(n, p)}" for n, p in RULES) + " END"
+
+
+def quoted(x: str) -> str:
+    """SQL: a text in quotes as dumps have it."""
+    slash, one, two = "chr(92)", "chr(39)", "chr(34)"
+    body = f"replace({x}, {slash}, {slash} || {slash})"
+    for code, letter in ((10, "n"), (13, "r"), (9, "t")):
+        body = f"replace({body}, chr({code}), {slash} || '{letter}')"
+    return f"CASE WHEN contains({x}, {one}) AND NOT contains({x}, {two}) THEN {two} || {body} || {two} ELSE {one} || replace({body}, {one}, {slash} || {one}) || {one} END"
 LINES = f"l AS MATERIALIZED ({duck_lines()})"
 
 BANDS = f"""
@@ -129,6 +162,7 @@ IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b"
 CARD = r"\b[0-9](?:[ \-]?[0-9]){12,18}\b"
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:^|[^0-9.,/])((?:\+49[ \-/]?|0)\d{2,4}[ /\-]{1,3}\d[\d \-]{3,12}\d|0\d{6,12})\b"
+PHONE_OK = r"(NOT regexp_matches(trim(x), '^[0-9]+$') AND NOT regexp_matches(trim(x), '^\d{1,2}\.\d{1,2}\.\d{2,4}[\s\d.\-/]*$'))"
 
 
 def iban_ok(x: str) -> str:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import entities, is_recipient_anchor, is_sender_anchor, matches, may_be_phone, not_blank, phone_candidates, static_rule, static_rule_name
+from ..functions.text import entities, is_recipient_anchor, is_sender_anchor, matches, may_be_phone, not_blank, only, phone_candidates, static_rule, static_rule_name
 from ..operators import codes, labels, names, regions, tables, verdicts
 from ..schema import LINE, PAGE
 from ..session import table
@@ -98,10 +98,10 @@ def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dump_round_trip(ls: DataFrame) -> DataFrame:
-    """Every line's text after quoting and parsing of its dump line: all that the two don't agree on (nothing, if they do)."""
+    """Every line's text after quoting and parsing of its dump line, and whether that is the text it began as."""
     raw = ls.select(F.col("doc_id").cast("string").alias("path"), F.col("line_no").alias("pos"), "page", "text", dumps.line_header().alias("raw"))
     back = dumps._literal(F.regexp_extract("raw", dumps.DUMP_LINE, 6))
-    return raw.withColumn("back", back).where("NOT back <=> text").select("path", "page", "pos", "text", "back")
+    return raw.withColumn("back", back).select("path", "page", "pos", "back", F.expr("back <=> text").alias("same"))
 
 
 def _phone_guard(ls: DataFrame) -> DataFrame:
@@ -116,14 +116,21 @@ def _phone_guard_candidates(ls: DataFrame) -> DataFrame:
 
 
 def _entities(ls: DataFrame) -> DataFrame:
-    """All kinds that the deterministic recognisers find, counted for each line. The SQL of entities_regex has five of the seven."""
-    return ls.select(*LINE, F.explode(entities(_text())).alias("e")).groupBy(*LINE, "e.entity").agg(F.count(F.lit(1)).alias("n"))
+    """All kinds that the deterministic recognisers find, counted for each line."""
+    return _counted(ls, entities(_text()))
+
+
+def _counted(ls: DataFrame, found: Column) -> DataFrame:
+    """Counts by kind within each line's own array: no shuffle."""
+    each = lambda k: F.struct(k.alias("entity"), F.size(F.filter(F.col("found"), lambda e: e["entity"] == k)).cast("long").alias("n"))
+    names = F.array_distinct(F.transform("found", lambda e: e["entity"]))
+    return ls.select(*LINE, found.alias("found")).select(*LINE, F.inline(F.transform(names, each)))
 
 
 QUERIES: dict[str, Query] = {
     "rendered_lines": lines,
-    "static_rule_match": _over(lambda ls: ls.select(*LINE, static_rule_name(_text()).alias("rule")).where("rule IS NOT NULL")),
-    "static_rule_quoted": _over(lambda ls: ls.select(*LINE, static_rule(_text()).alias("r")).where("r IS NOT NULL").select(*LINE, "r.rule", "r.matched")),
+    "static_rule_match": _over(lambda ls: ls.select(*LINE, only(static_rule_name(_text())).alias("rule"))),
+    "static_rule_quoted": _over(lambda ls: ls.select(*LINE, only(static_rule(_text())).alias("r")).select(*LINE, "r.rule", "r.matched")),
     "static_rule_boxes": _over(verdicts.static_rule_boxes),
     "rule_hit_counts": _over(_rule_hits),
     "anchors": _over(lambda ls: ls.where(not_blank(_text())).select(*LINE, is_sender_anchor(_text()).alias("sender"), is_recipient_anchor(_text()).alias("recipient"))),
@@ -143,8 +150,8 @@ QUERIES: dict[str, Query] = {
     "sender_blocks": _kind("sender"),
     "recipient_blocks": _kind("recipient"),
     "region_boxes": _over(lambda ls: regions.region_boxes(ls, WIDTH, HEIGHT)),
-    "entities_regex": _over(lambda ls: _entities(ls).where("entity NOT IN ('PHONE_NUMBER', 'DE_ADDRESS')")),
-    "entities_all": _over(_entities),
+    "entities_regex": _over(_entities),
+    "entities_threshold": _over(lambda ls: _counted(ls, entities(_text(), least=0.65))),
     "classifier_lines": _over(lambda ls: ls.select(*LINE, (F.size(entities(_text())) > 0).alias("pii")).where("pii")),
     "phone_guard": _over(_phone_guard),
     "phone_guard_candidates": _over(_phone_guard_candidates),
@@ -182,10 +189,16 @@ def oracle_sql() -> dict[str, str]:
         ("CREDIT_CARD", f"len(list_filter(regexp_extract_all(text, {O._q(O.CARD)}), lambda x: {O.luhn_ok('x')}))"), ("KONTO", f"len(regexp_extract_all(text, {O._q(O.KONTO)}))"),
         ("BIC_CODE", f"CASE WHEN {O.m(rf'(?i){O.B}(?:bic|swift){O.E}')} THEN len(regexp_extract_all(text, {O._q(O.BIC)})) ELSE 0 END"),
     ]
-    found = " UNION ALL ".join(f"SELECT {id_}, '{k}' AS entity, {e} AS n FROM l" for k, e in kinds)
+    streets, places = f"len(regexp_extract_all(text, {O._q(O.STREET2)}))", f"len(regexp_extract_all(text, {O._q(O.RULES[5][1])}))"
+    numbers = f"regexp_extract_all(text, {O._q(O.PHONE)}, 1)"
+    told = lambda kinds: " UNION ALL ".join(f"SELECT {id_}, '{k}' AS entity, {e} AS n FROM l" for k, e in kinds)
+    found = told([*kinds, ("PHONE_NUMBER", f"len(list_filter({numbers}, lambda x: {O.PHONE_OK}))"), ("DE_ADDRESS", f"{streets} + {places}")])
+    sure = told([x for x in kinds if x[0] != "BIC_CODE"] + [("DE_ADDRESS", streets)])
+    quoted = f"qt AS (SELECT {id_}, {O.RULE} AS rule, {O.MATCHED} AS matched FROM l WHERE {O.ANY_RULE})"
     return {
         "rendered_lines": f"{w()} SELECT * FROM l",
         "static_rule_match": f"{w()} SELECT {id_}, {O.RULE} AS rule FROM l WHERE {O.ANY_RULE}",
+        "static_rule_quoted": f"{w(quoted)} SELECT * FROM qt",
         "static_rule_boxes": f'{w()} SELECT {id_}, {O.RULE} AS rule, "left" - 2 AS x0, top - 2 AS y0, "left" + width + 2 AS x1, top + height + 2 AS y1 FROM l WHERE {O.ANY_RULE}',
         "rule_hit_counts": f"{w()} SELECT rule, page, count(*) AS n_lines FROM ({hits}) GROUP BY ALL",
         "anchors": f"{w()} SELECT {id_}, {O.SENDER} AS sender, {O.RECIPIENT} AS recipient FROM l WHERE {O.NOT_BLANK}",
@@ -203,6 +216,11 @@ def oracle_sql() -> dict[str, str]:
         "header_band": region("header"), "footer_band": region("footer"), "sender_blocks": region("sender"), "recipient_blocks": region("recipient"),
         "region_boxes": f"{regions_} SELECT * FROM rb",
         "entities_regex": f"{w()} SELECT * FROM ({found}) WHERE n > 0",
+        "entities_threshold": f"{w()} SELECT * FROM ({sure}) WHERE n > 0",
+        "phone_guard_candidates": f"{w()} SELECT {id_}, x AS candidate, {O.PHONE_OK} AS kept FROM (SELECT {id_}, unnest({numbers}) AS x FROM l)",
+        "trace": f"""{w(O.BANDS, O.TABLE, O.FLAGS, O.WALK, O.NAMES, O.REASONS, quoted)} SELECT {id_}, 0 AS seq, 'line @(' || "left" || ',' || top || ' ' || width || 'x' || height || ' conf=' || coalesce(CAST(conf AS VARCHAR), 'None') || '): ' || {O.quoted('text')} AS message FROM rs
+            UNION ALL SELECT {id_}, 1, '    rule ' || rule || ' matched ' || {O.quoted('matched')} FROM rs JOIN qt USING (doc_id, page, line_no) WHERE reason = 'static-rule'
+            UNION ALL SELECT {id_}, 2, CASE WHEN reason IS NOT NULL THEN '    -> REDACT (' || reason || ')' ELSE '    -> keep (item table)' END FROM rs WHERE reason IS NOT NULL OR in_table""",
         "classifier_lines": f"{w()} {pick}, true AS pii FROM l WHERE {O.PII}",
         "phone_guard": f"{w()} {pick}, NOT regexp_matches(trim(text), '^\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{2,4}}[\\s\\d.\\-/]*$') AND NOT regexp_matches(trim(text), '^\\d+$') AS kept FROM l WHERE regexp_matches(text, '^\\d[\\d\\s./\\-]{{5,}}$')",
         "verdict_reasons": f"{full} {pick}, in_table, reason FROM rs",
@@ -211,7 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "verdicts": f"{w(O.BANDS, O.TABLE, O.FLAGS, O.WALK, O.NAMES, O.REASONS, O.REGIONS, O.OUTCOMES)} {pick}, kind, reason, round(coverage, 9) AS coverage FROM vd",
         "verdict_summary": f"{w(O.BANDS, O.TABLE, O.FLAGS, O.WALK, O.NAMES, O.REASONS, O.REGIONS, O.OUTCOMES)} SELECT kind, reason, count(*) AS n_lines FROM vd GROUP BY ALL",
         "snapshot_diff": f"{w(O.REGIONS, narrow)} SELECT *, 'unexpected region' AS failure FROM (SELECT doc_id, page, x0, y0, x1, y1 FROM rb EXCEPT ALL SELECT doc_id, page, x0, y0, x1, y1 FROM rb2) UNION ALL SELECT *, 'missing region' FROM (SELECT doc_id, page, x0, y0, x1, y1 FROM rb2 EXCEPT ALL SELECT doc_id, page, x0, y0, x1, y1 FROM rb)",
-        "dump_round_trip": f"{w()} SELECT CAST(doc_id AS STRING) AS path, page, line_no AS pos, text, text AS back FROM l WHERE false",
+        "dump_round_trip": f"{w()} SELECT CAST(doc_id AS STRING) AS path, page, line_no AS pos, text AS back, true AS same FROM l",
         "code_shape_guard": f"WITH {_READS} SELECT doc_id, page, read_no FROM cr WHERE least(x1 - x0, y1 - y0) >= 12 AND greatest(x1 - x0, y1 - y0) <= 3.0 * least(x1 - x0, y1 - y0)",
         "code_growth": f"WITH {_READS}, g AS (SELECT *, CAST(round_even(0.08::DOUBLE * greatest(x1 - x0, y1 - y0), 0) AS INT) + 2 AS w FROM cr) SELECT doc_id, page, read_no, greatest(0, CAST(round_even(x0, 0) AS INT) - w) AS x0, greatest(0, CAST(round_even(y0, 0) AS INT) - w) AS y0, least({WIDTH}, CAST(round_even(x1, 0) AS INT) + w) AS x1, least({HEIGHT}, CAST(round_even(y1, 0) AS INT) + w) AS y1 FROM g",
         "code_anti_exact": f"WITH {_READS} SELECT doc_id, page, read_no FROM cr a WHERE NOT decoded AND NOT EXISTS (SELECT 1 FROM cr b WHERE b.decoded AND a.doc_id = b.doc_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)",
