@@ -76,5 +76,6 @@ SCORES = {"IBAN_CODE": 1.0, "EMAIL_ADDRESS": 1.0, "CREDIT_CARD": 1.0, "PHONE_NUM
 # Factors of the geometry.
 COLUMN_GAP, TABLE_GAP, MIN_TABLE_ROWS, BAND_STRETCH = 3.0, 3.0, 2, 1.5
 FRAGMENT_REACH, MAX_ASPECT, MIN_SIDE, MIN_INK, INK_INNER, INK_SHARE = 1.5, 3.0, 12, 0.30, 0.7, 0.6
+LINEAR_FORMATS = ["ITF", "Code128", "Code39"]
 RETRY_UPSCALE, RETRY_BLIND_MAX_PIXELS = 2, 2_000_000
 COVERED, UNTOUCHED = 0.9, 0.1

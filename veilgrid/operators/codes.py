@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..schema import PAGE
+from . import images
 
 
 def rect_of(corners: Column) -> Column:
@@ -120,16 +121,54 @@ def merge_sweep(boxes: DataFrame, order: str = "read_no") -> DataFrame:
     return pages.select(*PAGE, F.posexplode(F.aggregate(plain.cast(kind), F.array().cast(kind), sweep)).alias("box_no", "b")).select(*PAGE, "box_no", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
-def code_boxes(reads: DataFrame, outlines: DataFrame | None = None, margin_frac: float = 0.08, padding: int = 2, width: int = 1 << 30, height: int = 1 << 30) -> DataFrame:
+def admitted(reads: DataFrame, pages: DataFrame) -> DataFrame:
+    """Reads that count: those of the first pass in a matrix code's shape, those of the enlarged pass on pages that need one
+    (retry_pages), and linear ones of any shape, for which a checksum stands."""
+    linear, matrix = reads.where("linear"), plausible(reads.where("NOT linear"))
+    first = matrix.where("pass = 1")
+    again = matrix.where("pass = 2").join(retry_pages(pages, first).select(*PAGE), PAGE, "left_semi").select(reads.columns)
+    return first.unionByName(again).unionByName(linear)
+
+
+def code_pass(pages: DataFrame, margin_frac: float = 0.08, padding: int = 2) -> DataFrame:
+    """Boxes of all codes on page images (doc_id, page, width, height, channels, data), by the decoders plugged in as seams.
+
+    'decode_codes' gives matrix reads, decoded or not; it sees a page a second time, enlarged, if retry_pages says so. 'decode_linear' is asked
+    once for each format, as it finds some codes only alone. 'outline_codes' is asked only where fragments are left."""
+    schema, cols = "doc_id long, page int, read_no long, decoded boolean, x0 double, y0 double, x1 double, y1 double", [*PAGE, "read_no", "pass", "linear", "decoded", "x0", "y0", "x1", "y1"]
+    told = lambda df, number, linear: df.withColumn("pass", F.lit(number)).withColumn("linear", F.lit(linear)).select(cols)
+    first = images.inked(plausible(told(images.apply_model(pages, "decode_codes", schema), 1, False)), pages)
+    large = images.enlarged(retry_pages(pages, first), P.RETRY_UPSCALE)
+    again = images.inked(plausible(told(images.apply_model(large, "decode_codes", schema), 2, False)), large)
+    formats = pages.withColumn("format", F.explode(F.array(*(F.lit(f) for f in P.LINEAR_FORMATS))))
+    linear = told(images.apply_model(formats, "decode_linear", schema).where("decoded"), 1, True)
+    reads = first.unionByName(again).unionByName(linear)
+    with_pieces = pages.join(reads.where("NOT decoded").select(*PAGE).distinct(), PAGE, "left_semi")
+    outlines = images.apply_model(with_pieces, "outline_codes", schema)
+    return clamped(code_boxes(reads, outlines, margin_frac, padding, pages=pages), pages)
+
+
+def clamped(boxes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Boxes kept within their pages."""
+    joined = boxes.join(pages.select(*PAGE, "width", "height"), PAGE)
+    return joined.withColumn("x1", F.least("x1", "width")).withColumn("y1", F.least("y1", "height")).where("x1 > x0 AND y1 > y0").select(boxes.columns)
+
+
+def code_boxes(reads: DataFrame, outlines: DataFrame | None = None, margin_frac: float = 0.08, padding: int = 2, width: int = 1 << 30, height: int = 1 << 30, pages: DataFrame | None = None) -> DataFrame:
     """From reads of both passes to boxes: decoded, linear and outlined symbols are exact; fragments that touch none of them are fused.
-    Exact ones come first in the merge. Reads must have passed the guards of shape and ink (plausible, images.inked)."""
+    Exact ones come first in the merge. Reads must have passed the guards (admitted, images.inked); outlines pass that of shape here, and with
+    pages given both outlines and fused squares must hold ink: squaring a group goes beyond what was measured."""
+
+    def inked(rects: DataFrame) -> DataFrame:
+        return rects if pages is None else images.inked(rects.withColumn("decoded", F.lit(False)), pages).drop("decoded")
+
     cols = [*PAGE, "read_no", "x0", "y0", "x1", "y1"]
     own = unscaled(reads)
     exact = own.where("decoded OR linear").select(cols)
     fragments = own.where("NOT decoded AND NOT linear").select(cols)
     if outlines is not None:
         withf = outlines.join(fragments.select(*PAGE).distinct(), PAGE, "left_semi")  # asked for only where there are fragments
-        exact = exact.unionByName(apart_from(withf.select(cols), exact))
-    fused = fuse_fragments(apart_from(fragments, exact)).select(cols)
+        exact = exact.unionByName(apart_from(inked(plausible(withf).select(cols)), exact))
+    fused = inked(fuse_fragments(apart_from(fragments, exact)).select(cols))
     ordered = exact.withColumn("late", F.lit(0)).unionByName(fused.withColumn("late", F.lit(1))).withColumn("place", F.struct("late", "read_no"))
     return merge_sweep(grown(ordered, margin_frac, padding, width, height), "place")

@@ -19,7 +19,7 @@ _SEAMS: dict[str, Callable] = {}
 
 
 def plug(name: str, function: Callable) -> None:
-    """Gives a seam its model: 'ocr', 'unwarp', 'rasterize', 'decode_codes', 'jpeg' or 'person'."""
+    """Gives a seam its model: 'ocr', 'unwarp', 'rasterize', 'decode_codes', 'decode_linear', 'outline_codes', 'jpeg' or 'person'."""
     _SEAMS[name] = function
 
 
@@ -43,6 +43,17 @@ def apply_model(pages: DataFrame, name: str, schema: str) -> DataFrame:
     return pages.mapInPandas(run, schema)
 
 
+def enlarged(pages: DataFrame, factor: int) -> DataFrame:
+    """Pages with every pixel repeated `factor` times in both directions."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["data"] = [_array(d, w, h, c).repeat(factor, 0).repeat(factor, 1).tobytes() for d, w, h, c in zip(b["data"], b["width"], b["height"], b["channels"], strict=True)]
+            yield b.assign(width=b["width"] * factor, height=b["height"] * factor)
+
+    return pages.mapInPandas(run, pages.schema)
+
+
 def grey(pixels: np.ndarray) -> np.ndarray:
     """Luma of RGB rows by the usual integer weights."""
     if pixels.shape[2] == 1:

@@ -17,6 +17,7 @@ DATE = rf"{B}{D}{E}"
 HOST = r"[a-z0-9][a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:de|com|net|org|eu|at|ch)"
 PLZ_EDGE = r"(?:^|[^\p{L}\p{N}_/-]|(?:^|[^0-9])-)"
 HOST_EDGE = r"(?:$|[^\p{L}\p{N}_.-])"
+NUMBER_REST = r"[0-9\s()/+-]{5,}"
 TEL = r"(?:[Tt][Ee][Ll](?:[Ee][Ff][Oo][Nn])?|[Tt][Ee][Ll][Ee][Ff][Aa][Xx]|[Ff][Aa][Xx]|[Mm][Oo][Bb][Ii][Ll])"
 RULES = [
     ("SALUT", rf"{B}(?:Herrn?|Frau|Fräulein|Frl|Familie|Fam|Eheleute){E}"),
@@ -29,7 +30,7 @@ RULES = [
     ("CONTACT", rf"(?i){B}https?://\S+|{B}www\.[\w\-]+(?:\.[\w\-]+)+|[\w.\-+]+@[\w\-]+(?:\.[\w\-]+)+"),
     ("IMPRINT", rf"(?i){B}HR[AB]\s*\d|{B}(?:USt|Umsatzsteuer)[\-.\s]?Id|{B}Steuer[\-\s]?(?:nummer|Nr)|{B}IK[\-\s.]?(?:Nr\.?)?\s*:?\s*\d|{B}(?:LANR|LAN\-Nr|BSNR|IBAN|BIC|BLZ){E}|{B}Bankverbindung{E}|{B}Konto(?:\-?Nr)?{E}|{B}Postfach{E}"),
 ]
-MORE_CONTACT = [rf"{B}{HOST}(?:$|[^\p{{L}}\p{{N}}_.-])", rf"{B}{TEL}(?:\.?\s*:?\s*[(+][0-9\s()/+-]{{5,}}|(?:\.\s*:?\s*|\s+:?\s*|:\s*)[0-9(+][0-9\s()/+-]{{5,}})"]
+MORE_CONTACT = [rf"{B}{HOST}(?:$|[^\p{{L}}\p{{N}}_.-])", rf"{B}{TEL}(?:\.?\s*:?\s*[(+]|(?:\.\s*:?\s*|\s+:?\s*|:\s*)[0-9(+]){NUMBER_REST}"]
 ORG_MEDICAL = rf"(?i){B}(?:MVZ|[\p{{L}}\p{{N}}_]*praxis|Praxisgemeinschaft|[\p{{L}}\p{{N}}_]*klinik(?:um)?|[\p{{L}}\p{{N}}_]*krankenhaus|[\p{{L}}\p{{N}}_]*ärztehaus|[\p{{L}}\p{{N}}_]*zentrum|Institut|[\p{{L}}\p{{N}}_]*labor|Laborgemeinschaft|Apotheke|Sanitätshaus|Krankenkasse|[\p{{L}}\p{{N}}_]*versicherung|[\p{{L}}\p{{N}}_]*verrechnungsstelle|Abrechnungsstelle|Abrechnungsgesellschaft|Berufsausübungsgemeinschaft){E}|{B}Behandl\w*\s+durch{E}"
 MONEY = rf"{B}\d{{1,3}}(?:\.\d{{3}})*,\d{{2}}{E}"
 BIRTH_LABEL = r"(?i)geburt|geboren|geb[.\s-]*dat"
@@ -68,7 +69,7 @@ def _core(pattern: str) -> list[str]:
     out = []
     for part in pattern.removeprefix("(?i)").replace("|" + B, "\0" + B).replace(r"|[\w.\-+]+@", "\0" + r"[\w.\-+]+@").split("\0"):
         lead = next((x for x in (B, PLZ_EDGE) if part.startswith(x)), "")
-        tail = next((x for x in (E, HOST_EDGE) if part.endswith(x)), "")
+        tail = next((x for x in (E, HOST_EDGE, NUMBER_REST) if part.endswith(x)), "")
         body = part[len(lead) : len(part) - len(tail)]
         out.append(f"{lead}({flag}{body}){tail}")
     return out

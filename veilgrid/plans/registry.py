@@ -63,16 +63,17 @@ def _snapshot_diff(ls: DataFrame) -> DataFrame:
 
 
 def code_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads made from events: place by the event's number, side by the user's, undecoded where the event is an error."""
+    """Reads made from events: place by the event's number, side by the user's, undecoded where the event is an error. Every fourth is
+    of the enlarged pass, sign-ups of the first are linear."""
     e = table(spark, sf_dir, "events").where("event_id IS NOT NULL AND user_id IS NOT NULL")
     x, y, side = F.expr("CAST((event_id * 37) % 1500 AS DOUBLE)"), F.expr("CAST((event_id * 53) % 2200 AS DOUBLE)"), F.expr("CAST(user_id % 60 + 5 AS DOUBLE)")
     return e.select(
-        F.expr("CAST(event_id div 12 AS BIGINT)").alias("doc_id"), F.lit(0).alias("page"), F.col("event_id").cast("long").alias("read_no"), F.lit(1).alias("pass"), F.lit(False).alias("linear"),
+        F.expr("CAST(event_id div 12 AS BIGINT)").alias("doc_id"), F.lit(0).alias("page"), F.col("event_id").cast("long").alias("read_no"), F.expr("IF(event_id % 4 = 3, 2, 1)").alias("pass"), F.expr("event_type = 'signup' AND event_id % 4 <> 3").alias("linear"),
         (F.col("event_type") != "error").alias("decoded"), x.alias("x0"), y.alias("y0"), (x + side).alias("x1"), (y + side * F.expr("CAST(event_id % 4 + 1 AS DOUBLE)") / 2).alias("y1"),
     )
 
 
-_READS = """cr AS MATERIALIZED (SELECT CAST(event_id // 12 AS BIGINT) AS doc_id, 0 AS page, CAST(event_id AS BIGINT) AS read_no, event_type <> 'error' AS decoded, x AS x0, y AS y0, x + s AS x1, y + s * CAST(event_id % 4 + 1 AS DOUBLE) / 2 AS y1
+_READS = """cr AS MATERIALIZED (SELECT CAST(event_id // 12 AS BIGINT) AS doc_id, 0 AS page, CAST(event_id AS BIGINT) AS read_no, CASE WHEN event_id % 4 = 3 THEN 2 ELSE 1 END AS pass, event_type = 'signup' AND event_id % 4 <> 3 AS linear, event_type <> 'error' AS decoded, x AS x0, y AS y0, x + s AS x1, y + s * CAST(event_id % 4 + 1 AS DOUBLE) / 2 AS y1
   FROM (SELECT *, CAST((event_id * 37) % 1500 AS DOUBLE) AS x, CAST((event_id * 53) % 2200 AS DOUBLE) AS y, CAST(user_id % 60 + 5 AS DOUBLE) AS s FROM events WHERE event_id IS NOT NULL AND user_id IS NOT NULL))"""
 _FUSED = """fp AS (SELECT a.doc_id, a.read_no AS a, b.read_no AS b FROM cr a JOIN cr b ON a.doc_id = b.doc_id AND NOT a.decoded AND NOT b.decoded AND
     greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1), greatest(a.y0, b.y0) - least(a.y1, b.y1)) <= 1.5::DOUBLE * greatest(a.x1 - a.x0, a.y1 - a.y0, b.x1 - b.x0, b.y1 - b.y0)),
@@ -80,6 +81,27 @@ _FUSED = """fp AS (SELECT a.doc_id, a.read_no AS a, b.read_no AS b FROM cr a JOI
   fg AS (SELECT doc_id, s AS read_no, min(t) AS g FROM fr GROUP BY ALL)"""
 
 
+_SIDES = "least(x1 - x0, y1 - y0) >= 12 AND greatest(x1 - x0, y1 - y0) <= 3.0 * least(x1 - x0, y1 - y0)"
+_GATE = f"""pl AS MATERIALIZED (SELECT * FROM cr WHERE NOT linear AND {_SIDES}),
+  gt AS MATERIALIZED (SELECT p.doc_id FROM (SELECT DISTINCT doc_id FROM cr) p LEFT JOIN (SELECT doc_id, bool_or(decoded) AS any_, count(*) AS n FROM pl WHERE pass = 1 GROUP BY doc_id) s ON s.doc_id = p.doc_id
+    WHERE NOT coalesce(any_, false) AND (coalesce(n, 0) > 0 OR p.doc_id % 5 = 0))"""
+_BOX = "{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}"
+_MEET = "acc.cur.x0 < x.cur.x1 AND x.cur.x0 < acc.cur.x1 AND acc.cur.y0 < x.cur.y1 AND x.cur.y0 < acc.cur.y1"
+_WIDE = "{'x0': least(acc.cur.x0, x.cur.x0), 'y0': least(acc.cur.y0, x.cur.y0), 'x1': greatest(acc.cur.x1, x.cur.x1), 'y1': greatest(acc.cur.y1, x.cur.y1)}"
+_SWEPT = f"""ow AS MATERIALIZED (SELECT doc_id, read_no, decoded, x0, y0, x1, y1 FROM pl WHERE pass = 1 UNION ALL SELECT doc_id, read_no, true, x0, y0, x1, y1 FROM cr WHERE linear
+    UNION ALL SELECT doc_id, read_no, decoded, x0 / 2, y0 / 2, x1 / 2, y1 / 2 FROM pl WHERE pass = 2 AND doc_id IN (SELECT doc_id FROM gt)),
+  fa AS MATERIALIZED (SELECT * FROM ow a WHERE NOT decoded AND NOT EXISTS (SELECT 1 FROM ow b WHERE b.decoded AND a.doc_id = b.doc_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)),
+  {_FUSED.replace("cr ", "fa ")},
+  sq AS (SELECT fg.doc_id, g, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fg JOIN fa ON fg.doc_id = fa.doc_id AND fg.read_no = fa.read_no GROUP BY fg.doc_id, g),
+  bx AS (SELECT doc_id, 0 AS late, read_no, x0, y0, x1, y1 FROM ow WHERE decoded UNION ALL SELECT doc_id, 1, g, x0, y0, x0 + greatest(x1 - x0, y1 - y0), y0 + greatest(x1 - x0, y1 - y0) FROM sq),
+  gw AS (SELECT *, CAST(round_even(0.08::DOUBLE * greatest(x1 - x0, y1 - y0), 0) AS INT) + 2 AS w FROM bx),
+  gb AS (SELECT doc_id, late, read_no, greatest(0, CAST(round_even(x0, 0) AS INT) - w) AS x0, greatest(0, CAST(round_even(y0, 0) AS INT) - w) AS y0, least({WIDTH}, CAST(round_even(x1, 0) AS INT) + w) AS x1, least({HEIGHT}, CAST(round_even(y1, 0) AS INT) + w) AS y1 FROM gw),
+  nu AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY late, read_no) AS i, {_BOX} AS b FROM gb WHERE x1 > x0 AND y1 > y0),
+  sw AS (SELECT doc_id, i, [b] AS bs FROM nu WHERE i = 1 UNION ALL SELECT doc_id, i, list_append(r.rest, r.cur) FROM (SELECT sw.doc_id, nu.i, list_reduce(list_prepend({{'cur': nu.b, 'rest': ([nu.b])[1:0]}}, list_transform(sw.bs, lambda o: {{'cur': o, 'rest': ([nu.b])[1:0]}})),
+    lambda acc, x: CASE WHEN {_MEET} THEN {{'cur': {_WIDE}, 'rest': acc.rest}} ELSE {{'cur': acc.cur, 'rest': list_append(acc.rest, x.cur)}} END) AS r FROM sw JOIN nu ON nu.doc_id = sw.doc_id AND nu.i = sw.i + 1)),
+  la AS (SELECT doc_id, arg_max(bs, i) AS bs FROM sw GROUP BY doc_id)"""
+
+
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.fuse_fragments(code_reads(spark, sf_dir).where("NOT decoded"))
 
@@ -89,8 +111,18 @@ def _anti_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.apart_from(reads.where("NOT decoded"), reads.where("decoded")).select(*PAGE, "read_no")
 
 
+def code_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of code_reads; every fifth is small enough for a blind second pass."""
+    docs = code_reads(spark, sf_dir).select(*PAGE).distinct()
+    return docs.select(*PAGE, F.when(F.col("doc_id") % 5 == 0, 1000).otherwise(WIDTH).alias("width"), F.when(F.col("doc_id") % 5 == 0, 1500).otherwise(HEIGHT).alias("height"))
+
+
+def _retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.retry_pages(code_pages(spark, sf_dir), codes.plausible(code_reads(spark, sf_dir).where("pass = 1 AND NOT linear"))).select(*PAGE)
+
+
 def _code_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codes.code_boxes(codes.plausible(code_reads(spark, sf_dir)), width=WIDTH, height=HEIGHT)
+    return codes.code_boxes(codes.admitted(code_reads(spark, sf_dir), code_pages(spark, sf_dir)), width=WIDTH, height=HEIGHT)
 
 
 def _grown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +199,7 @@ QUERIES: dict[str, Query] = {
     "code_growth": _grown,
     "code_anti_exact": _anti_exact,
     "code_fragments_fused": _fused,
+    "retry_gate": _retry_gate,
     "code_boxes": _code_boxes,
 }
 
@@ -231,6 +264,8 @@ def oracle_sql() -> dict[str, str]:
         "snapshot_diff": f"{w(O.REGIONS, narrow)} SELECT *, 'unexpected region' AS failure FROM (SELECT doc_id, page, x0, y0, x1, y1 FROM rb EXCEPT ALL SELECT doc_id, page, x0, y0, x1, y1 FROM rb2) UNION ALL SELECT *, 'missing region' FROM (SELECT doc_id, page, x0, y0, x1, y1 FROM rb2 EXCEPT ALL SELECT doc_id, page, x0, y0, x1, y1 FROM rb)",
         "dump_round_trip": f"{w()} SELECT CAST(doc_id AS STRING) AS path, page, line_no AS pos, text AS back, true AS same FROM l",
         "code_shape_guard": f"WITH {_READS} SELECT doc_id, page, read_no FROM cr WHERE least(x1 - x0, y1 - y0) >= 12 AND greatest(x1 - x0, y1 - y0) <= 3.0 * least(x1 - x0, y1 - y0)",
+        "retry_gate": f"WITH {_READS}, {_GATE} SELECT doc_id, 0 AS page FROM gt",
+        "code_boxes": f"WITH RECURSIVE {_READS}, {_GATE}, {_SWEPT} SELECT doc_id, 0 AS page, i AS box_no, bs[i + 1].x0 AS x0, bs[i + 1].y0 AS y0, bs[i + 1].x1 AS x1, bs[i + 1].y1 AS y1 FROM (SELECT doc_id, bs, unnest(range(len(bs)))::INT AS i FROM la)",
         "code_growth": f"WITH {_READS}, g AS (SELECT *, CAST(round_even(0.08::DOUBLE * greatest(x1 - x0, y1 - y0), 0) AS INT) + 2 AS w FROM cr) SELECT doc_id, page, read_no, greatest(0, CAST(round_even(x0, 0) AS INT) - w) AS x0, greatest(0, CAST(round_even(y0, 0) AS INT) - w) AS y0, least({WIDTH}, CAST(round_even(x1, 0) AS INT) + w) AS x1, least({HEIGHT}, CAST(round_even(y1, 0) AS INT) + w) AS y1 FROM g",
         "code_anti_exact": f"WITH {_READS} SELECT doc_id, page, read_no FROM cr a WHERE NOT decoded AND NOT EXISTS (SELECT 1 FROM cr b WHERE b.decoded AND a.doc_id = b.doc_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)",
         "code_fragments_fused": f"WITH RECURSIVE {_READS}, {_FUSED} SELECT doc_id, 0 AS page, g AS read_no, x0, y0, x0 + greatest(x1 - x0, y1 - y0) AS x1, y0 + greatest(x1 - x0, y1 - y0) AS y1 FROM (SELECT fg.doc_id, g, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fg JOIN cr ON fg.doc_id = cr.doc_id AND fg.read_no = cr.read_no GROUP BY fg.doc_id, g)",
