@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgrid.config import AssembleOptions, Config, RedactOptions, load_config
+from veilgrid.functions.text import python_repr
 from veilgrid.operators import verdicts
-from veilgrid.plans import report
+from veilgrid.plans import engine, report
 from veilgrid.schema import LINES
 from veilgrid.sources import dumps, files
 from veilgrid.streaming.names import name_memory_stream
@@ -149,6 +150,49 @@ def test_reports_and_documents(spark):
     assert report.exit_status(df).first().status == 1
 
 
+def test_quoting_of_what_is_not_printable(spark):
+    texts = ["a\u00a0b", "x\x0cy", "z\u200bz", "it's", 'both \' and "', "tab\t\\", "\x85", "ü€ß", "plain", "\U000e0001"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(python_repr(F.col("text"))).collect()
+    assert [r[0] for r in got] == [repr(t) for t in texts]
+
+
+def test_paths_that_are_missing_or_unsupported_are_warned_of(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for n in ("b.PNG", "a.pdf", "c_redacted.png", "e.txt"):
+        (tmp_path / "d" / n).write_bytes(b"x")
+    (tmp_path / "one.jpg").write_bytes(b"y")
+    with pytest.warns(UserWarning) as told:
+        got = files.collect_inputs(spark, str(tmp_path / "d"), str(tmp_path / "one.jpg"), str(tmp_path / "none.png"), str(tmp_path / "d" / "e.txt")).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in got) == ["a.pdf", "b.PNG", "one.jpg"]
+    assert sorted(str(w.message).split(":")[0] for w in told if "skipping" in str(w.message)) == ["path not found, skipping", "unsupported file type, skipping"]
+    assert files.collect_inputs(spark).count() == 0
+
+
+def test_engine_follows_the_settings(spark, tmp_path):
+    rows = [(1, 0, 0, "Muster GmbH", 100, 20, 200, 20, None), (1, 0, 1, "44137 Dortmund Str", 600, 400, 100, 10, None), (1, 0, 2, "Anna Muster", 100, 700, 100, 10, None), (1, 0, 3, "0231 / 1234567", 100, 800, 100, 10, None)]
+    lines = spark.createDataFrame(rows, LINES)
+    whole = engine.build(Config())
+    assert {r.source for r in whole.boxes(lines, 1000, 1000).collect()} >= {"line", "region-header"}
+    bare = engine.build(Config({"redaction": {"redact_regions": False, "redact_codes": False, "score_threshold": 0.65, "padding": 5}}))
+    assert bare.regions is None and bare.code_margin is None
+    assert {r.source for r in bare.boxes(lines, 1000, 1000).collect()} == {"line"}
+    assert {r.line_no for r in whole.outcomes(lines, 1000, 1000).where("reason = 'classifier'").collect()} == {3}
+    assert not bare.outcomes(lines, 1000, 1000).where("line_no = 3 AND kind <> 'keep'").count()
+    token = lambda i, t, p: {"idx": i, "text": t, "pos": p}
+    spans = spark.createDataFrame([(1, 0, 2, [token(0, "Anna", "PROPN"), token(5, "Muster", "PROPN")], 0, 11, 0.85), (1, 0, 0, [token(0, "Muster", "PROPN")], 0, 6, 0.85)], "doc_id long, page int, line_no int, tokens array<struct<idx:int,text:string,pos:string>>, start int, end int, score double")
+    told = engine.build(Config(), spans=spans).outcomes(lines, 1000, 1000).where("reason = 'classifier'").collect()
+    assert {r.line_no for r in told} == {2, 3}
+    results = spark.createDataFrame([(str(tmp_path / "a.pdf"), "application/pdf", bytearray(b"ab"), None), (str(tmp_path / "no" / "b.png"), "image/png", bytearray(b"c"), None), (str(tmp_path / "c.png"), None, None, "broken")], "path string, content_type string, content binary, error string")
+    done = engine.write_beside(results)
+    got = {r.path.rsplit("/", 1)[1]: r for r in done.collect()}
+    assert (tmp_path / "a_redacted.pdf").read_bytes() == b"ab" and got["a.pdf"].error is None and got["b.png"].error and got["c.png"].error == "broken"
+    assert report.exit_status(done).first().status == 1
+    rendered, reports = spark.createDataFrame([(1, "image/png", bytearray(b"p"))], "doc_id long, content_type string, content binary"), spark.createDataFrame([(1, "{}")], "doc_id long, report string")
+    c = Config()
+    assert engine.produce_output(rendered, reports, RedactOptions.from_query({}, c)).first().content_type == "image/png"
+    assert bytes(engine.produce_output(rendered, reports, RedactOptions.from_query({"json-output": "1"}, c)).first().content) == b"{}"
+
+
 def test_name_stream_equals_the_batch(spark, tmp_path):
     from veilgrid.operators.names import name_memory_hits
 

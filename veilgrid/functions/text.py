@@ -85,6 +85,13 @@ def python_repr(text: Column) -> Column:
     body = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         body = F.replace(body, F.lit(raw), F.lit(shown))
+    odd = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ ]]"  # what isn't printable is shown by its code
+
+    def shown(c: Column) -> Column:
+        code = F.lower(F.hex(F.ascii(c)))
+        return F.when(~c.rlike(odd), c).when(F.length(code) <= 2, F.concat(F.lit("\\x"), F.lpad(code, 2, "0"))).when(F.length(code) <= 4, F.concat(F.lit("\\u"), F.lpad(code, 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(code, 8, "0")))
+
+    body = F.when(body.rlike(odd), F.array_join(F.transform(F.split(body, ""), shown), "")).otherwise(body)
     single, double = text.contains("'"), text.contains('"')
     return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,16 +16,35 @@ MEDIA_TYPES = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg"
 BODY = T.StructType([T.StructField("pages", T.ArrayType(T.StructType([T.StructField("data", T.StringType()), T.StructField("content_type", T.StringType()), T.StructField("boxes", T.ArrayType(T.ArrayType(T.IntegerType())))])))])
 
 
-def collect_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content) of a folder's supported files, one level deep, without earlier outputs.
-    Content is read only if a later step asks for it."""
+def collect_inputs(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, modificationTime, length, content) of files, and of folders' supported files, one level deep, without earlier outputs, in no
+    order (a sort would move all content; sort what comes of it by path). A path that isn't there, or a file of another kind, is warned of and left out. Content is read only if a later step asks for it."""
     name = F.element_at(F.split("path", "/"), -1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    hadoop, there = spark._jvm.org.apache.hadoop.fs.Path, []
+    for path in paths:
+        at = hadoop(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(at):
+            warnings.warn(f"path not found, skipping: {path}", stacklevel=2)
+        elif files.getFileStatus(at).isFile() and path.rsplit(".", 1)[-1].lower() not in SUFFIXES:
+            warnings.warn(f"unsupported file type, skipping: {path}", stacklevel=2)
+        else:
+            there.append(path)
+    if not there:
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(there)
     return files.where(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*SUFFIXES) & ~name.contains("_redacted"))
 
 
 def checked_inputs(files: DataFrame, config: Config) -> DataFrame:
-    """files with media_type, status (200, 400, 413 or 415) and detail. The size is checked before content is touched."""
+    """files with media_type, status (200, 400, 413 or 415) and detail. Files that are too large are told apart by a filter on their length,
+    which the reader knows, so their content (null here) is never read."""
+    small = files.where(F.col("length") <= config.api.max_upload_bytes)
+    large = files.where(F.col("length") > config.api.max_upload_bytes).withColumn("content", F.lit(None).cast("binary"))
+    return _told(small, config).unionByName(_told(large, config))
+
+
+def _told(files: DataFrame, config: Config) -> DataFrame:
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
     kind = F.coalesce(*(F.when(suffix == s, F.lit(m)) for s, m in MEDIA_TYPES.items()))
     magic = F.hex(F.substring("content", 1, 4))
