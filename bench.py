@@ -8,7 +8,7 @@ import time
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 HEADLINE = ["rendered_lines", "static_rule_boxes", "item_table_lines", "labeled_values", "name_memory_hits", "region_boxes", "verdict_summary", "code_boxes"]
-OPERATORS = ["op1_", "op2_", "op3_", "op4_", "op6_", "op7_", "op8_", "op9_", "op10_"]
+OPERATORS = ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"]
 
 
 def main() -> None:

@@ -50,12 +50,14 @@ STATIC_RULES = [
     ("SALUT", SALUT), ("PATIENT_NAME", PATIENT_NAME), ("TITLE_NAME", TITLE_NAME), ("NAME_DATE", NAME_DATE), ("DE_STREET", DE_STREET),
     ("DE_PLZ_CITY", DE_PLZ_CITY), ("ORG_LEGAL", ORG_LEGAL), ("CONTACT", CONTACT), ("IMPRINT", IMPRINT),
 ]
-STOPWORDS = """
-    Sehr Geehrte Geehrter Geehrtes Herr Herrn Frau Fräulein Familie Eheleute Patient Patientin Patienten Versicherte Versicherter
-    Versicherten Mitglied Rechnungsempfänger Rechnungsempfängerin Zahlungspflichtige Zahlungspflichtiger Geburtsdatum Geburtstag
-    Geboren Januar Februar März April Juni Juli August September Oktober November Dezember Arzt Ärztin Zahnarzt Zahnärztin Facharzt
-    Fachärztin Praxis Medizin Innere Allgemeinmedizin
-""".split()
+# Words that are no names.
+STOPWORDS = [
+    "Sehr", "Geehrte", "Geehrter", "Geehrtes", "Herr", "Herrn", "Frau", "Fräulein", "Familie", "Eheleute", "Patient", "Patientin", "Patienten",
+    "Versicherte", "Versicherter", "Versicherten", "Mitglied", "Rechnungsempfänger", "Rechnungsempfängerin", "Zahlungspflichtige",
+    "Zahlungspflichtiger", "Geburtsdatum", "Geburtstag", "Geboren", "Januar", "Februar", "März", "April", "Juni", "Juli", "August", "September",
+    "Oktober", "November", "Dezember", "Arzt", "Ärztin", "Zahnarzt", "Zahnärztin", "Facharzt", "Fachärztin", "Praxis", "Medizin", "Innere",
+    "Allgemeinmedizin",
+]
 
 # The deterministic part of the classifier: entity, pattern, score, and a context that the line must have.
 BIC = r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import patterns as P
 from .invoices import HEIGHT, WIDTH, duck_lines
 
 # Fixed values, down to DETAIL: the patterns of functions/patterns.py as RE2 writes them. A word's edges, which RE2 knows for ASCII only, are spelled out.
@@ -126,13 +127,11 @@ WALK = f"""
       WHERE NOT n.in_table AND n.top - w.bottom <= 3.0 * n.mh AND CASE w.want WHEN 'detail' THEN n.d_ok WHEN 'birth' THEN n.b_ok ELSE n.n_ok END)),
   cb AS (SELECT DISTINCT doc_id, page, line_no FROM walk WHERE line_no >= 0),
   lv AS (SELECT doc_id, page, line_no FROM mv UNION SELECT doc_id, page, line_no FROM sr UNION SELECT doc_id, page, line_no FROM cb)"""
-STOP = """'sehr geehrte geehrter geehrtes herr herrn frau fräulein familie eheleute patient patientin patienten versicherte versicherter versicherten mitglied
- rechnungsempfänger rechnungsempfängerin zahlungspflichtige zahlungspflichtiger geburtsdatum geburtstag geboren januar februar märz april juni juli august september
- oktober november dezember arzt ärztin zahnarzt zahnärztin facharzt fachärztin praxis medizin innere allgemeinmedizin'"""
+STOP = "[" + ", ".join(f"'{w.lower()}'" for w in P.STOPWORDS) + "]"
 NAMES = f"""
   ev AS (SELECT doc_id, page, text FROM l WHERE {m(RULES[1][1])} OR {m(RULES[2][1])} OR {m(RULES[0][1])} OR {m(BIRTH_MARK)} OR {m(RULES[3][1])} OR ({m(BIRTH_LABEL)} AND {m(DATE)})),
   wd AS (SELECT doc_id, page, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM ev),
-  nm AS (SELECT DISTINCT doc_id, page, name FROM wd WHERE {m('^[A-ZÄÖÜ][A-ZÄÖÜa-zäöüß]{3,}$', 'name')} AND NOT list_contains(regexp_split_to_array({STOP}, '\\s+'), lower(name))),
+  nm AS (SELECT DISTINCT doc_id, page, name FROM wd WHERE {m('^[A-ZÄÖÜ][A-ZÄÖÜa-zäöüß]{3,}$', 'name')} AND NOT list_contains({STOP}, lower(name))),
   fs AS (SELECT doc_id, lower(name) AS word, min(page) AS seen FROM nm GROUP BY ALL),
   lw AS (SELECT doc_id, page, line_no, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM l),
   nh AS (SELECT DISTINCT lw.doc_id, lw.page, lw.line_no FROM lw JOIN fs ON lw.doc_id = fs.doc_id AND lower(lw.w) = fs.word AND fs.seen <= lw.page WHERE {m('^[A-ZÄÖÜ]', 'w')})"""
