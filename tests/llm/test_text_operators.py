@@ -442,3 +442,18 @@ def test_damaged_streams_fail():
 def test_no_pages(spark):
     scratch = Scratch(spark)
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "url", "html", scratch).count() == 0
+
+
+def test_archives_of_a_hot_payload(spark):
+    """A third of all pages share a payload; of the others every second has one copy. Extra columns have the operator's own names."""
+    rows = [(i, f"http://x/{i}", "hot" if i % 3 == 0 else f"p{i // 6}-{i % 3}", "other", 7) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, n long").repartition(5)
+    scratch = Scratch(spark)
+    index = warc.archive_pages(df, "page_id", "url", "html", scratch)
+    schema = warc.pa.schema([("page_id", warc.pa.int64()), ("payload_bytes", warc.pa.int64()), ("payload_digest", warc.pa.string()), ("record_type", warc.pa.string()), ("refers_to", warc.pa.int64())])
+    got = warc.read_members(index, scratch.root, warc.read_page, schema, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long").collect()
+    last = {}
+    for i, _, html, *_ in rows:
+        last[html] = max(i, last.get(html, i))
+    want = {(i, len(html), warc.payload_digest(html.encode()), "response" if last[html] == i else "revisit", None if last[html] == i else last[html]) for i, _, html, *_ in rows}
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want

@@ -19,6 +19,8 @@ from ..session import table
 from .common import Scratch
 from .training_order import _attempt, filesystem
 
+#: A digest that has one of so many records is met by broadcast: there can be no more such digests than this.
+HOT = 1_000
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -204,7 +206,11 @@ def archive_pages(df: DataFrame, id_col: str, url_col: str, html_col: str, scrat
 
     Of equal payloads (equal SHA-1) of at least `least` bytes, the pages with the largest id are responses, all others
     revisits of it; a null id is smaller than any, and pages that all lack an id are all responses. A null payload is
-    empty, a null URL too. Repeated rows get a record each. An empty table gives no archive and no rows.
+    empty, a null URL too. Repeated rows get a record each. An empty table gives no archive and no rows. Other columns
+    are ignored, whatever their names.
+
+    Copies of a hot payload learn of their response by broadcast and lose the payload before anything moves; then they
+    are dealt by page, so that no digest is one task's matter.
     """
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +227,20 @@ def archive_pages(df: DataFrame, id_col: str, url_col: str, html_col: str, scrat
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array([payload_digest(x.as_buffer()) for x in html])], ["page_id", "digest"])
 
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    last = rows.select("page_id", "html").mapInArrow(only_digest, "page_id long, digest string").groupBy("digest").agg(F.max("page_id").alias("last"))
-    full = rows.mapInArrow(digested, "page_id long, url string, packed binary, payload_bytes long, digest string")
-    told = full.join(last, "digest").withColumn("refers_to", F.when((F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
+    digests = rows.select("page_id", "html").mapInArrow(only_digest, "page_id long, digest string")
+    last = scratch.save(digests.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")), "digests")
+    n = last.agg(F.sum("n")).first()[0] or 0
+    hot = last.where(F.col("n") * HOT >= n).select("digest", F.col("last").alias("hot_last"), F.lit(True).alias("hot"))
+    rest = last.where(F.col("n") * HOT < n).select(F.col("digest").alias("dealt"), "last")
+
+    def refers(to: str):
+        return F.when((F.col("payload_bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col(to)), F.col(to))
+
+    full = rows.mapInArrow(digested, "page_id long, url string, packed binary, payload_bytes long, digest string").join(F.broadcast(hot), "digest", "left")
+    full = full.withColumn("hot_refers", F.when(F.col("hot"), refers("hot_last"))).withColumn("packed", F.when(F.col("hot_refers").isNull(), F.col("packed")))
+    by_page = F.concat_ws(":", "digest", F.xxhash64("page_id", "url").cast("string"))
+    told = full.withColumn("dealt", F.when(F.col("hot"), by_page).otherwise(F.col("digest"))).join(rest, "dealt", "left")
+    told = told.withColumn("refers_to", F.when(F.col("hot"), F.col("hot_refers")).otherwise(refers("last")))
     packed = told.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("packed")).alias("packed"), "payload_bytes", "digest", "refers_to")
     whole = scratch.save(write_archives(packed, f"{scratch.root}/streams", date), "written")
     return scratch.save(normalise(whole.repartition(max(1, whole.count())), f"{scratch.root}/archives"), "index")
