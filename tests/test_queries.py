@@ -6,13 +6,13 @@ import pytest
 from veilgrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["rendered_lines", "static_rule_match", "item_table_lines", "labeled_values", "name_memory_hits", "region_boxes", "verdict_summary", "entities_regex", "code_fragments_fused", "code_growth"]
+SOME = ["rendered_lines", "static_rule_match", "item_table_lines", "labeled_values", "name_memory_hits", "region_boxes", "verdict_summary", "entities_regex", "dump_lines", "snapshot_verdicts", "verdict_diff", "assemble_rows", "input_guards", "page_guards", "dump_plan", "code_fragments_fused", "code_growth"]
 
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("orders", "lineitem", "events"):
+    for t in ("orders", "lineitem", "events", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 

@@ -21,7 +21,8 @@ from .report import output_path
 
 def person_lines(spans: DataFrame, least: float) -> DataFrame:
     """Lines with a person: spans (line, tokens, start, end, score) of a language model that score enough and are worth two name tokens."""
-    return spans.where((F.col("score") >= least) & (person_tokens(F.col("tokens"), F.col("start"), F.col("end")) >= 2)).select(*LINE).distinct()
+    worth = F.filter(F.array(person_tokens(F.col("tokens"), F.col("start"), F.col("end"))), lambda n: n >= 2)
+    return spans.where(F.col("score") >= least).select(*LINE, F.explode(worth)).select(*LINE).distinct()  # a filter would evaluate what tokens are made of for each mention of them
 
 
 def classifier(config: Config, kinds: tuple[str, ...] = tuple(P.PII_ENTITIES), spans: DataFrame | None = None) -> verdicts.Classifier:

@@ -13,6 +13,7 @@ from ..operators import codes, labels, names, regions, tables, verdicts
 from ..schema import LINE, PAGE
 from ..session import table
 from ..sources import dumps
+from . import exchange
 from . import oracle as O
 from .invoices import HEIGHT, WIDTH, lines
 
@@ -205,7 +206,7 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | exchange.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -227,6 +228,7 @@ def oracle_sql() -> dict[str, str]:
     told = lambda kinds: " UNION ALL ".join(f"SELECT {id_}, '{k}' AS entity, {e} AS n FROM l" for k, e in kinds)
     found = told([*kinds, ("PHONE_NUMBER", f"len(list_filter({numbers}, lambda x: {O.PHONE_OK}))"), ("DE_ADDRESS", f"{streets} + {places}")])
     sure = told([x for x in kinds if x[0] != "BIC_CODE"] + [("DE_ADDRESS", streets)])
+    traded = exchange.oracle_sql()
     quoted = f"qt AS (SELECT {id_}, {O.RULE} AS rule, {O.MATCHED} AS matched FROM l WHERE {O.ANY_RULE})"
     return {
         "rendered_lines": f"{w()} SELECT * FROM l",
@@ -269,4 +271,4 @@ def oracle_sql() -> dict[str, str]:
         "code_growth": f"WITH {_READS}, g AS (SELECT *, CAST(round_even(0.08::DOUBLE * greatest(x1 - x0, y1 - y0), 0) AS INT) + 2 AS w FROM cr) SELECT doc_id, page, read_no, greatest(0, CAST(round_even(x0, 0) AS INT) - w) AS x0, greatest(0, CAST(round_even(y0, 0) AS INT) - w) AS y0, least({WIDTH}, CAST(round_even(x1, 0) AS INT) + w) AS x1, least({HEIGHT}, CAST(round_even(y1, 0) AS INT) + w) AS y1 FROM g",
         "code_anti_exact": f"WITH {_READS} SELECT doc_id, page, read_no FROM cr a WHERE NOT decoded AND NOT EXISTS (SELECT 1 FROM cr b WHERE b.decoded AND a.doc_id = b.doc_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)",
         "code_fragments_fused": f"WITH RECURSIVE {_READS}, {_FUSED} SELECT doc_id, 0 AS page, g AS read_no, x0, y0, x0 + greatest(x1 - x0, y1 - y0) AS x1, y0 + greatest(x1 - x0, y1 - y0) AS y1 FROM (SELECT fg.doc_id, g, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fg JOIN cr ON fg.doc_id = cr.doc_id AND fg.read_no = cr.read_no GROUP BY fg.doc_id, g)",
-    }
+    } | traded

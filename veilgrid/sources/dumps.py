@@ -24,6 +24,11 @@ DUMP_GLOB = "*_ocr.txt"
 def read_texts(spark: SparkSession, path: str, glob: str = DUMP_GLOB) -> DataFrame:
     """(path, pos, raw): every line of every file, in order within its file. A file is one row until it is split, as dumps are small."""
     whole = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).withColumn("path", F.input_file_name())
+    return split_texts(whole)
+
+
+def split_texts(whole: DataFrame) -> DataFrame:
+    """(path, pos, raw): every line of texts (path, value)."""
     return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r\n?", "\n"), "\n")).alias("pos", "raw"))
 
 
