@@ -80,8 +80,15 @@ def test_snapshot_text(spark):
 
     text = dumps.render_snapshot(verdicts.outcomes(lines, 1000, 1000), region_boxes(lines, 1000, 1000), "patterns").first().content
     assert text == "# classifier: patterns\n=== page 0 ===\nline @(0,20 100x20 conf=99.0): 'Muster GmbH'\n    -> REDACT (static-rule)\nline @(300,600 80x20 conf=None): 'Rechnung'\n    -> keep\nregion -> REDACT [0, 0, 1000, 42]\n"
-    said = [r.message for r in verdicts.trace(lines).orderBy("line_no", "seq").collect()]
-    assert said[1] == "    rule ORG_LEGAL matched 'GmbH'" and said[2] == "    -> REDACT (static-rule)"
+    more = lines.union(spark.createDataFrame([(1, 0, 2, "Tel. 0231 / 123456 oder 01.02.2024", 0, 700, 300, 20, 98.5), (1, 1, 0, " ", 0, 0, 1, 1, None)], LINES))
+    codes = spark.createDataFrame([(1, 0, 5, 6, 7, 8)], "doc_id long, page int, x0 int, y0 int, x1 int, y1 int")
+    said = [(r.page, r.message) for r in verdicts.trace(more, regions=region_boxes(lines, 1000, 1000), codes=codes).orderBy("page", "line_no", "seq").collect()]
+    assert [m for p, m in said if p == 0][:5] == ["=== page 0 ===", "line @(0,20 100x20 conf=99.0): 'Muster GmbH'", "    rule ORG_LEGAL matched 'GmbH'", "    -> REDACT (static-rule)", "line @(300,600 80x20 conf=None): 'Rechnung'"]
+    assert said[-3:] == [(0, "region -> REDACT [0, 0, 1000, 42]"), (0, "code -> REDACT [5, 6, 7, 8]"), (1, "=== page 1 ===")]
+    found = spark.createDataFrame([(2, 0, 0, "Karte 4111111111111111 und 0123456789", 0, 700, 300, 20, 98.5)], LINES)
+    assert [(r.line_no, r.seq, r.message) for r in verdicts.trace(found).orderBy("line_no", "seq").collect()][2:] == [
+        (0, 1, "    match CREDIT_CARD 1.00 '4111111111111111' [pattern]"), (0, 2, "      Ignoring PHONE_NUMBER '0123456789': a date or an identifier"), (0, 3, "    -> REDACT (classifier)"),
+    ]
 
 
 def test_inputs_and_guards(spark, tmp_path):

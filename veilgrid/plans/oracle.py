@@ -209,3 +209,31 @@ OUTCOMES = f"""
 
 def with_(*parts: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([LINES, *parts])
+
+
+def trace_sql(rules: str) -> str:
+    """The whole commentary; `rules` is the relation qt of rules and the texts that they matched."""
+    id_ = "doc_id, page, line_no"
+    each = lambda p: f"regexp_extract_all(text, {_q(_core(p)[0])}, 1)"
+    numbers = f"regexp_extract_all(text, {_q(PHONE)}, 1)"
+    finds = [
+        ("IBAN_CODE", f"list_filter(regexp_extract_all(text, {_q(IBAN)}), lambda x: {iban_ok('x')})", None), ("EMAIL_ADDRESS", f"regexp_extract_all(text, {_q(EMAIL)})", None),
+        ("CREDIT_CARD", f"list_filter(regexp_extract_all(text, {_q(CARD)}), lambda x: {luhn_ok('x')})", None), ("PHONE_NUMBER", f"list_filter({numbers}, lambda x: {PHONE_OK})", None),
+        ("BIC_CODE", f"CASE WHEN {m(rf'(?i){B}(?:bic|swift){E}')} THEN {each(BIC)} ELSE [] END", None), ("KONTO", each(KONTO), None), ("DE_ADDRESS", each(STREET2), None), ("DE_ADDRESS", each(RULES[5][1]), 0.6),
+    ]
+    told = [f"list_transform({found}, lambda x: '    match {kind} {P.SCORES[kind] if score is None else score:.2f} ' || {quoted('x')} || ' [pattern]')" for kind, found, score in finds]
+    told.append(f"list_transform(list_filter({numbers}, lambda x: NOT {PHONE_OK}), lambda x: '      Ignoring PHONE_NUMBER ' || {quoted('trim(x)')} || ': a date or an identifier')")
+    ms = told[0]
+    for x in told[1:]:
+        ms = f"list_concat({ms}, {x})"
+    return f"""{with_(BANDS, TABLE, FLAGS, WALK, NAMES, REASONS, REGIONS, rules)},
+      mt AS MATERIALIZED (SELECT {id_}, {ms} AS ms FROM rs WHERE reason = 'classifier' OR (reason IS NULL AND NOT in_table)),
+      hd AS (SELECT l.doc_id, l.page, count(tl.line_no) AS n FROM l LEFT JOIN tl USING (doc_id, page, line_no) GROUP BY ALL)
+      SELECT {id_}, 0 AS seq, 'line @(' || "left" || ',' || top || ' ' || width || 'x' || height || ' conf=' || coalesce(CAST(conf AS VARCHAR), 'None') || '): ' || {quoted('text')} AS message FROM rs
+      UNION ALL SELECT {id_}, 1, '    rule ' || rule || ' matched ' || {quoted('matched')} FROM rs JOIN qt USING (doc_id, page, line_no) WHERE reason = 'static-rule'
+      UNION ALL SELECT {id_}, i, ms[i] FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM mt)
+      UNION ALL SELECT {id_}, 1 + CASE WHEN reason = 'static-rule' THEN 1 ELSE 0 END + coalesce(len(ms), 0), CASE WHEN reason IS NOT NULL THEN '    -> REDACT (' || reason || ')' ELSE '    -> keep (item table)' END
+        FROM rs LEFT JOIN mt USING (doc_id, page, line_no) WHERE reason IS NOT NULL OR in_table
+      UNION ALL SELECT doc_id, page, -1, 0, '=== page ' || page || ' ===' FROM hd
+      UNION ALL SELECT doc_id, page, -1, 1, 'item table: classifier off for ' || n || ' line(s)' FROM hd WHERE n > 0
+      UNION ALL SELECT doc_id, page, 2147483647, row_number() OVER (PARTITION BY doc_id, page ORDER BY list_position(['header', 'footer', 'sender', 'recipient'], kind), y0, x0, y1, x1) - 1, 'region -> REDACT [' || x0 || ', ' || y0 || ', ' || x1 || ', ' || y1 || ']' FROM rb"""

@@ -195,7 +195,7 @@ QUERIES: dict[str, Query] = {
     "verdict_summary": _over(_summary),
     "snapshot_diff": _over(_snapshot_diff),
     "dump_round_trip": _over(_dump_round_trip),
-    "trace": _over(verdicts.trace),
+    "trace": _over(lambda ls: verdicts.trace(ls, regions=regions.region_boxes(ls, WIDTH, HEIGHT))),
     "code_shape_guard": lambda spark, sf_dir: codes.plausible(code_reads(spark, sf_dir)).select(*PAGE, "read_no"),
     "code_growth": _grown,
     "code_anti_exact": _anti_exact,
@@ -253,9 +253,7 @@ def oracle_sql() -> dict[str, str]:
         "entities_regex": f"{w()} SELECT * FROM ({found}) WHERE n > 0",
         "entities_threshold": f"{w()} SELECT * FROM ({sure}) WHERE n > 0",
         "phone_guard_candidates": f"{w()} SELECT {id_}, x AS candidate, {O.PHONE_OK} AS kept FROM (SELECT {id_}, unnest({numbers}) AS x FROM l)",
-        "trace": f"""{w(O.BANDS, O.TABLE, O.FLAGS, O.WALK, O.NAMES, O.REASONS, quoted)} SELECT {id_}, 0 AS seq, 'line @(' || "left" || ',' || top || ' ' || width || 'x' || height || ' conf=' || coalesce(CAST(conf AS VARCHAR), 'None') || '): ' || {O.quoted('text')} AS message FROM rs
-            UNION ALL SELECT {id_}, 1, '    rule ' || rule || ' matched ' || {O.quoted('matched')} FROM rs JOIN qt USING (doc_id, page, line_no) WHERE reason = 'static-rule'
-            UNION ALL SELECT {id_}, 2, CASE WHEN reason IS NOT NULL THEN '    -> REDACT (' || reason || ')' ELSE '    -> keep (item table)' END FROM rs WHERE reason IS NOT NULL OR in_table""",
+        "trace": O.trace_sql(quoted),
         "classifier_lines": f"{w()} {pick}, true AS pii FROM l WHERE {O.PII}",
         "phone_guard": f"{w()} {pick}, NOT regexp_matches(trim(text), '^\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{2,4}}[\\s\\d.\\-/]*$') AND NOT regexp_matches(trim(text), '^\\d+$') AS kept FROM l WHERE regexp_matches(text, '^\\d[\\d\\s./\\-]{{5,}}$')",
         "verdict_reasons": f"{full} {pick}, in_table, reason FROM rs",
