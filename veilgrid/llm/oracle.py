@@ -14,6 +14,35 @@ WITH RECURSIVE v AS MATERIALIZED (
 ), n AS (SELECT x, count(*) AS k FROM p GROUP BY x)
 SELECT vec_id, coalesce(k, 0) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN c ON s = vec_id LEFT JOIN n ON x = vec_id"""
 
+def _crc_words() -> list[int]:
+    """What each bit of a byte does to a CRC-32; a byte's effect is the exclusive or of its bits'."""
+    out = []
+    for bit in range(8):
+        c = 1 << bit
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, byte by byte."""
+    step = "(c >> 8)"
+    for bit, word in enumerate(_crc_words()):
+        step = f"xor({step}, ((xor(c, b) >> {bit}) & 1) * {word}::BIGINT)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+OP6 = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size, {_crc32("coalesce(text, '')")} AS text_crc32 FROM documents
+), k AS (SELECT *, CAST('0x' || substring(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || text_crc32), 1, 15) AS BIGINT) AS k FROM d
+), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id NULLS FIRST, text_crc32) AS i, count(*) OVER (PARTITION BY source) AS m, count(*) OVER () AS n FROM k
+), p AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * i - 1 AS DOUBLE) / (2 * m), source NULLS FIRST, k, doc_id NULLS FIRST, text_crc32) - 1 AS pos FROM r
+), s AS (SELECT *, pos * 40 // n AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, pos - (shard * n + 39) // 40 AS slot, NULL::INT AS grown_shard, source FROM s"""
+
 # base32 takes five hexadecimal digits to four letters
 OP8 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages

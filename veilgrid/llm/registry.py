@@ -25,5 +25,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    """Checksums of CRC-32, tokenizers, models and approximate search are beyond it; those are tested against brute force."""
-    return {"op7_pq_near_dedup": oracle.OP7, "op8_gzip_normaliser": oracle.OP8, "op10_grouped_prefix_join": oracle.OP10}
+    """Tokenizers, models and approximate search are beyond it; those are tested against brute force."""
+    return {"op6_stratified_shards": oracle.OP6, "op7_pq_near_dedup": oracle.OP7, "op8_gzip_normaliser": oracle.OP8, "op10_grouped_prefix_join": oracle.OP10}

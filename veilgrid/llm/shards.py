@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from .common import Scratch, hash62, key_bucket, rank_within
+from .common import Scratch, key_bucket, rank_within
 
 #: Rows that one bucket of a stratum holds on the average.
 BUCKET_ROWS = 2_000
 
 
+def _shuffled(seed: int, *cols: Column) -> Column:
+    """A key from 0 to 2^62 - 1 of the seed and columns, which SQL engines have too: the first 15 digits of an MD5."""
+    said = F.concat_ws("|", F.lit(seed).cast("string"), *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+    return F.shiftleft(F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("long"), 2)
+
+
 def interleave(df: DataFrame, n_shards: int, id_col: str, text_col: str, stratum_col: str, seed: int = 17) -> DataFrame:
     """One row for each input row: id, size, text_crc32, stratum, shard, slot (gapless from 0 in each shard).
 
@@ -30,7 +36,8 @@ def interleave(df: DataFrame, n_shards: int, id_col: str, text_col: str, stratum
         F.col(stratum_col).alias("stratum"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("k", hash62(F.lit(seed), F.col("id"), F.col("text_crc32")))
+    )
+    rows = rows.withColumn("k", _shuffled(seed, F.col("id"), F.col("text_crc32")))
     rows = Scratch(spark).save(rows, "rows")
     n = rows.count()
     nb = max(1, min(1 << 20, n // BUCKET_ROWS))
@@ -46,7 +53,10 @@ def interleave(df: DataFrame, n_shards: int, id_col: str, text_col: str, stratum
 
 
 def write_shards(df: DataFrame, placed: DataFrame, id_col: str, path: str) -> None:
-    """Writes the rows of df, whose ids are unique, as one folder of Parquet for each shard, in order of slots."""
+    """Writes the rows of df as one folder of Parquet for each shard, in order of slots. An id that repeats, a null one too, is an error,
+    as its rows' places cannot be told apart."""
+    if placed.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ValueError(f"{id_col} repeats")
     at = placed.select(F.col("id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
     (df.join(at, df[id_col].eqNullSafe(at["__id"])).drop("__id")
      .repartitionByRange(F.col("__shard"), F.col("__slot")).sortWithinPartitions("__shard", "__slot")
