@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -7,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -186,6 +188,8 @@ def test_written_shards(documents, tmp_path, spark):
     own = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     shards.write_shards(own, shards.interleave(own, 4, "doc_id", "text", "source"), "doc_id", str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == own.count()
+    with pytest.raises(ValueError, match="repeats"):
+        shards.write_shards(documents, shards.interleave(documents, 4, "doc_id", "text", "source"), "doc_id", str(tmp_path / "t"))
 
 
 # components, joins -----------------------------------------------------------------------------------------------
@@ -367,6 +371,77 @@ def toxic_documents(spark, n=500):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def brute_features(text):
+    """All distinct features of a text, word by word."""
+    full = 1 << 64
+
+    def mixed(x, kind):
+        return (((x ^ (x >> 29)) * (0x9E3779B97F4A7C15 + 2 * kind)) % full) >> 32
+
+    out, words = set(), []
+    for chunk in re.split(r"[ \t\n\v\f\r]+", text or ""):
+        words += [(xxhash.xxh64_intdigest(w), xxhash.xxh64_intdigest(w[:5])) for w in re.findall(r"\w+", chunk.lower())]
+    for i, (h, stem) in enumerate(words):
+        out |= {mixed(h, 1), mixed(stem, 2)}
+        if i >= 1:
+            out.add(mixed((words[i - 1][0] * 31 + h) % full, 3))
+        if i >= 2:
+            out.add(mixed((words[i - 2][0] * 37 + h) % full, 4))
+    return out
+
+
+def test_features_equal_a_loop(rows):
+    feature, row = toxicity._distinct(*toxicity.features(pa.array([r[1] for r in rows], pa.string())))
+    got = defaultdict(set)
+    for f, r in zip(feature.tolist(), row.tolist(), strict=True):
+        got[r].add(f)
+    assert [got[i] for i in range(len(rows))] == [brute_features(r[1]) for r in rows]
+
+
+def brute_ftrl(rows, labels, least_df, passes, alpha, beta, l1, l2):
+    """One coordinate after the other, in plain floats."""
+    df = Counter(f for r in rows for f in r)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        if f != "bias" and abs(z[f]) <= l1:
+            return 0.0
+        pull = 0.0 if f == "bias" else math.copysign(l1, z[f])
+        return (pull - z[f]) / ((beta + math.sqrt(n[f])) / alpha + (0.0 if f == "bias" else l2))
+
+    for _ in range(passes):
+        for r, y in zip(rows, labels, strict=True):
+            some = ["bias"] + [f for f in r if df[f] >= least_df]
+            w = {f: weight(f) for f in some}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in some:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / alpha * w[f]
+                n[f] += g * g
+    bias = weight("bias")
+    return {f: weight(f) for f in list(z) if f != "bias" and weight(f)}, bias
+
+
+@pytest.mark.parametrize(("l1", "l2"), [(1.0, 0.0), (0.5, 0.3), (4.0, 0.0)])
+def test_ftrl_equals_a_loop(l1, l2):
+    rng = np.random.default_rng(6)
+    rows = [sorted(set(rng.integers(0, 60, rng.integers(0, 12)).tolist())) for _ in range(120)]
+    labels = [int(any(f < 6 for f in r)) for r in rows]
+    want, bias = brute_ftrl(rows, labels, 3, 4, 1.0, 1.0, l1, l2)
+    model = toxicity.ftrl([np.array(r, np.uint32) for r in rows], np.array(labels, float), 3, 4, 1.0, 1.0, l1, l2)
+    got = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[f] - want[f]) < 1e-9 for f in want) and abs(model.bias - bias) < 1e-9
+
+
+def test_scores_equal_a_loop(spark, documents, rows):
+    docs, labels = toxic_documents(spark)
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    weights = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    texts = [r[1] for r in rows] + [r.text for r in docs.collect()]
+    want = [1 / (1 + math.exp(-sum(weights.get(f, 0.0) for f in brute_features(t)) - model.bias)) for t in texts]
+    assert np.allclose(model.score(pa.array(texts, pa.string())), want, atol=1e-12)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = toxic_documents(spark)
     model = toxicity.train(docs, labels.where(~toxicity.held_out("doc_id")), "doc_id", "text", "toxic")
