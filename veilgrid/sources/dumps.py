@@ -116,12 +116,13 @@ def verdict_text(kind: Column, reason: Column, coverage: Column) -> Column:
 def render_snapshot(outcomes: DataFrame, regions: DataFrame, classifier: str) -> DataFrame:
     """(doc_id, content): verdicts of every line and the boxes of regions, page by page."""
     said = outcomes.select(*PAGE, F.lit(1).alias("part"), "line_no", F.concat(line_header(), F.lit("\n"), verdict_text(F.col("kind"), F.col("reason"), F.col("coverage"))).alias("raw"))
-    heads = outcomes.select(*PAGE).union(regions.select(*PAGE)).distinct().select(*PAGE, F.lit(0).alias("part"), F.lit(-1).alias("line_no"), F.format_string("=== page %d ===", "page").alias("raw"))
     rank = {k: i for i, k in enumerate(("header", "footer", "sender", "recipient"))}
     place = F.coalesce(*(F.when(F.col("kind") == k, i) for k, i in rank.items()))
     boxes = regions.select(*PAGE, F.lit(2).alias("part"), place.alias("line_no"), F.format_string("region -> REDACT [%d, %d, %d, %d]", "x0", "y0", "x1", "y1").alias("raw"))
-    rows = heads.unionByName(said).unionByName(boxes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "part", "line_no", "raw"))).alias("xs"))
-    return rows.select("doc_id", F.concat(F.lit(f"# classifier: {classifier}\n"), F.concat_ws("\n", F.transform("xs", lambda x: x["raw"])), F.lit("\n")).alias("content"))
+    rows = said.unionByName(boxes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "part", "line_no", "raw"))).alias("xs"))
+    opens = lambda x, i: ~x["page"].eqNullSafe(F.get(F.col("xs"), i - 1)["page"])
+    raws = F.transform("xs", lambda x, i: F.when(opens(x, i), F.concat(F.format_string("=== page %d ===\n", x["page"]), x["raw"])).otherwise(x["raw"]))
+    return rows.select("doc_id", F.concat(F.lit(f"# classifier: {classifier}\n"), F.concat_ws("\n", raws), F.lit("\n")).alias("content"))
 
 
 def compare_verdicts(actual: DataFrame, expected: DataFrame, ignore_text: bool = False) -> DataFrame:
