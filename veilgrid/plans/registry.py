@@ -33,13 +33,8 @@ def _rule_hits(ls: DataFrame) -> DataFrame:
     return ls.select("page", F.explode(found).alias("rule")).groupBy("rule", "page").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-def _flags(ls: DataFrame) -> DataFrame:
-    return labels.flagged(tables.with_item_table(ls))
-
-
 def _columns_below(ls: DataFrame) -> DataFrame:
-    flags = _flags(ls)
-    return labels.continued_columns(flags, labels.same_row_values(flags)).union(labels.header_columns(flags)).distinct()
+    return labels.labeled_by(ls, "below").select(*LINE).distinct()
 
 
 def _components(ls: DataFrame) -> DataFrame:
@@ -170,10 +165,10 @@ QUERIES: dict[str, Query] = {
     "median_heights": _over(tables.median_heights),
     "item_table_bands": _over(tables.item_table_bands),
     "item_table_lines": _over(lambda ls: tables.with_item_table(ls).where("in_table").select(LINE)),
-    "labeled_merged": _over(lambda ls: labels.merged_values(labels.flagged(ls))),
-    "labeled_same_row": _over(lambda ls: labels.same_row_values(labels.flagged(ls)).select(*LINE, "rule")),
+    "labeled_merged": _over(lambda ls: labels.labeled_by(ls, "merged")),
+    "labeled_same_row": _over(lambda ls: labels.labeled_by(ls, "beside")),
     "column_below": _over(_columns_below),
-    "labeled_values": _over(lambda ls: labels.labeled_values(ls)),
+    "labeled_values": _over(labels.labeled_values),
     "harvested_names": _over(names.harvested_names),
     "name_memory_hits": _over(names.name_memory_hits),
     "adjacent_pairs": _over(regions.adjacent_pairs),
