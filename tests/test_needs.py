@@ -57,3 +57,13 @@ def test_rule_hits_are_counted_by_many_tasks(spark):
 def test_lines_are_not_shuffled_again(spark):
     assert all("_orderkey" in x for x in exchanges(lines(spark, SF)))
     assert all("_orderkey" in x for x in exchanges(lines(spark, SF).groupBy("doc_id").count()))
+
+
+def test_reasons_shuffle_no_lines(spark):
+    df = registry.queries()["verdict_reasons"](spark, SF)
+    assert all("_orderkey" in x for x in exchanges(df))
+
+
+def test_regions_shuffle_blocks_only(spark):
+    plan = [x for x in exchanges(registry.queries()["region_boxes"](spark, SF)) if "_orderkey" not in x]
+    assert len(plan) == 1 and "hashpartitioning(doc_id" in plan[0]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import capital_words, is_name_evidence, name_tokens
-from ..schema import LINE, PAGE
+from ..schema import LINE, PAGE, by_document
 
 
 def harvested_names(lines: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def name_memory_hits(lines: DataFrame) -> DataFrame:
     """
     text, nothing = F.col("text"), F.array().cast("array<string>")
     names = F.when(is_name_evidence(text), F.transform(name_tokens(text), F.lower)).otherwise(nothing)
-    told = lines.repartition("doc_id").select(*LINE, names.alias("names"), capital_words(text).alias("words"))
+    told = by_document(lines).select(*LINE, names.alias("names"), capital_words(text).alias("words"))
     pages = told.groupBy(*PAGE).agg(F.collect_list(F.struct("line_no", "words")).alias("ls"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("own"))
     so_far = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     known = F.array_distinct(F.flatten(F.collect_list("own").over(so_far)))
