@@ -44,3 +44,21 @@ def test_pages_of_one_number_are_one(spark):
     early = spark.createDataFrame([("a", "=== page 0 ===\n  -> keep\nline @x")], "path string, value string")
     with pytest.raises(Exception, match="verdict before any line"):
         dumps.parse_snapshot(early)[0].collect()
+
+
+@pytest.mark.parametrize("name", ["verdict_diff"])
+def test_verdicts_are_made_once(spark, name):
+    df = registry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_orderkey" in x for x in exchanges(df)) and plan.count(" parquet") == 3
+
+
+def test_comparison_of_a_page_equals_that_of_frames(spark):
+    kind = "line_no int, line string, kind string, reason string"
+    a = [(0, "line @(0,0 1x1 conf=1): 'a'", "keep", None), (1, "line @(0,5 1x1 conf=1): 'b'", "REDACT", "region"), (4, "line @(0,6 1x1 conf=1): 'c'", "keep", None), (5, "line @(0,7 1x1 conf=1): 'd'", "keep", None)]
+    b = [(4, a[2][1], "PARTIAL", "overlap"), (1, a[1][1], "REDACT", "region"), (0, "line @(0,0 1x1 conf=1): 'z'", "keep", None), (7, "line @(1,1 1x1 conf=1): 'e'", "keep", None)]
+    page = spark.createDataFrame([(1, 0, a, b), (1, 1, [], b), (2, 0, a, []), (2, 1, a, a)], f"doc_id long, page int, a array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>, b array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
+    for ignore_text in (False, True):
+        frames = dumps.compare_verdicts(*(page.select("doc_id", "page", F.inline(x)) for x in "ab"), ignore_text)
+        rows = page.select("doc_id", "page", F.inline(dumps.compare_page(F.col("a"), F.col("b"), ignore_text)))
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, frames.collect())) and frames.count() == 12 - ignore_text

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -150,27 +151,49 @@ def render_snapshots(documents: DataFrame, classifier: str) -> DataFrame:
         return F.concat(F.array(F.concat(F.lit("=== page "), p["page"].cast("string"), F.lit(" ==="))), F.transform(F.concat(lines, boxes), lambda x: x["raw"]))
 
     some = F.filter("ps", lambda p: (F.size(p["ls"]) > 0) | (F.size(p["rs"]) > 0))
-    told = documents.select("doc_id", some.alias("ps")).where(F.size("ps") > 0)
-    return told.select("doc_id", F.concat(F.lit(f"# classifier: {classifier}\n"), F.array_join(F.flatten(F.transform("ps", page)), "\n"), F.lit("\n")).alias("content"))
+    text = lambda ps: F.concat(F.lit(f"# classifier: {classifier}\n"), F.array_join(F.flatten(F.transform(ps, page)), "\n"), F.lit("\n"))
+    told = F.transform(F.array(some), lambda ps: F.when(F.size(ps) > 0, text(ps)))
+    # a filter of rows would be pushed below what makes the pages, and have them made twice
+    return documents.select("doc_id", F.explode(F.filter(told, lambda x: x.isNotNull())).alias("content"))
 
 
 def compare_verdicts(actual: DataFrame, expected: DataFrame, ignore_text: bool = False) -> DataFrame:
     """(doc_id, page, line_no, failure): a full join by position. With ignore_text a line is known by its geometry alone."""
-    cut = (lambda c: F.substring_index(c, "): ", 1)) if ignore_text else (lambda c: c)
     a = actual.select(*LINE, F.col("line").alias("a_line"), F.col("kind").alias("a_kind"), F.col("reason").alias("a_reason"))
     b = expected.select(*LINE, F.col("line").alias("b_line"), F.col("kind").alias("b_kind"), F.col("reason").alias("b_reason"))
     joined = a.join(b, LINE, "full")
-    shown = lambda k, r: F.concat(F.col(k), F.coalesce(F.concat(F.lit(" ("), F.col(r), F.lit(")")), F.lit("")))
-    head = F.element_at(F.split(F.col("a_line"), ": ", 2), -1)
-    failure = (
-        F.when(F.col("a_line").isNull(), "missing line").when(F.col("b_line").isNull(), "unexpected line")
-        .when(~(cut(F.col("a_line")) == cut(F.col("b_line"))), "the snapshot was written for different OCR output")
-        .when(~(F.col("a_kind").eqNullSafe(F.col("b_kind")) & F.col("a_reason").eqNullSafe(F.col("b_reason"))),
-              F.concat(excerpt(head), F.lit(": expected "), shown("b_kind", "b_reason"), F.lit(", got "), shown("a_kind", "a_reason")))
-    )
+    differs = _difference(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), ignore_text)
+    failure = F.when(F.col("a_line").isNull(), "missing line").when(F.col("b_line").isNull(), "unexpected line").otherwise(differs)
     return joined.select(*LINE, failure.alias("failure")).where("failure IS NOT NULL")
 
 
+def _difference(a: Callable[[str], Column], b: Callable[[str], Column], ignore_text: bool) -> Column:
+    """How two lines at one position differ in line, kind and reason; null if they don't."""
+    cut = (lambda c: F.substring_index(c, "): ", 1)) if ignore_text else (lambda c: c)
+    shown = lambda x: F.concat(x("kind"), F.coalesce(F.concat(F.lit(" ("), x("reason"), F.lit(")")), F.lit("")))
+    head = F.element_at(F.split(a("line"), ": ", 2), -1)
+    return F.when(~(cut(a("line")) == cut(b("line"))), "the snapshot was written for different OCR output").when(
+        ~(a("kind").eqNullSafe(b("kind")) & a("reason").eqNullSafe(b("reason"))), F.concat(excerpt(head), F.lit(": expected "), shown(b), F.lit(", got "), shown(a))
+    )
+
+
+def compare_page(actual: Column, expected: Column, ignore_text: bool = False) -> Column:
+    """compare_verdicts of one page, where both sides lie in one row as arrays of (line_no, line, kind, reason): an array of (line_no, failure).
+    Sorted by number, a line stands just before the one expected in its place; a side has a number once."""
+    side = lambda n: lambda x: F.struct(x["line_no"].alias("at"), F.lit(n).alias("side"), x["line"].alias("line"), x["kind"].alias("kind"), x["reason"].alias("reason"))
+
+    def told(xs: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before, after = F.get(xs, i - 1), F.get(xs, i + 1)
+            own = F.when(after["at"].eqNullSafe(x["at"]), _difference(lambda c: x[c], lambda c: after[c], ignore_text)).otherwise("unexpected line")
+            return F.struct(x["at"].alias("line_no"), F.when(x["side"] == 0, own).when(~before["at"].eqNullSafe(x["at"]), "missing line").alias("failure"))
+
+        return F.filter(F.transform(xs, one), lambda x: x["failure"].isNotNull())
+
+    both = F.array_sort(F.concat(F.transform(actual, side(0)), F.transform(expected, side(1))))
+    return F.element_at(F.transform(F.array(both), told), 1)
+
+
 def compare_regions(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, page, x0, y0, x1, y1, failure): what either bag of boxes has beyond the other."""
     cols = [*PAGE, "x0", "y0", "x1", "y1"]
