@@ -46,7 +46,7 @@ def test_pages_of_one_number_are_one(spark):
         dumps.parse_snapshot(early)[0].collect()
 
 
-@pytest.mark.parametrize("name", ["verdict_diff"])
+@pytest.mark.parametrize("name", ["verdict_diff", "trace"])
 def test_verdicts_are_made_once(spark, name):
     df = registry.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -193,7 +193,7 @@ QUERIES: dict[str, Query] = {
     "verdict_summary": _over(_summary),
     "snapshot_diff": _over(_snapshot_diff),
     "dump_round_trip": _over(_dump_round_trip),
-    "trace": _over(lambda ls: verdicts.trace(ls, regions=regions.region_boxes(ls, WIDTH, HEIGHT))),
+    "trace": _over(lambda ls: verdicts.trace(ls, size=(WIDTH, HEIGHT))),
     "code_shape_guard": lambda spark, sf_dir: codes.plausible(code_reads(spark, sf_dir)).select(*PAGE, "read_no"),
     "code_growth": _grown,
     "code_anti_exact": _anti_exact,
